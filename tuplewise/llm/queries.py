@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .packing import op1_best_fit_packing
+from .quality import op5_quality_rules
+from .secrets import op3_secret_scan
+from .url_rules import op8_url_filter
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
