@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .near_dup import op10_minhash_near_dup
 from .packing import op1_best_fit_packing
 from .quality import op5_quality_rules
 from .secrets import op3_secret_scan
+from .substring_dup import op4_substring_dedup
 from .url_rules import op8_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op10_minhash_near_dup": op10_minhash_near_dup,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
