@@ -8,10 +8,12 @@ from .packing import op1_best_fit_packing
 from .quality import op5_quality_rules
 from .secrets import op3_secret_scan
 from .substring_dup import op4_substring_dedup
+from .top_k import op2_exact_top_k
 from .url_rules import op8_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
