@@ -17,7 +17,8 @@ FALLBACK_DIR = "/tmp/checkpoints/tuplewise"
 #: without arguments splits at exactly these six bytes.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-_written: list[str] = []
+_scratch: list[str] = []
+_results: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,26 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *, scratch: bool = True) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts lineage: a lost executor re-reads files instead of recomputing.
+    release() deletes scratch tables; the others go when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    if not _written:
+    if not _scratch and not _results:
         atexit.register(_at_exit)
-    _written.append(path)
+    (_scratch if scratch else _results).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, paths: list[str] = _scratch) -> None:
     """Delete every scratch table; call it once their results are written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = hadoop(_written.pop())
+    while paths:
+        path = hadoop(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -57,6 +59,7 @@ def _at_exit() -> None:
     if spark is not None:
         with contextlib.suppress(Exception):  # the JVM may be gone already
             release(spark)
+            release(spark, _results)
 
 
 class WordHashes(dict):
@@ -130,3 +133,12 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+def carried(docs: DataFrame, carry: bool, *used: str) -> list[str]:
+    """Columns that go along unchanged: all but those used, if carry."""
+    return [c for c in docs.columns if carry and c not in used]
+
+
+def ddl(df: DataFrame, names: list[str]) -> str:
+    return "".join(f", `{n}` {df.select(f'`{n}`').schema[0].dataType.simpleString()}" for n in names)

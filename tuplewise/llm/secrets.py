@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, slices
+from .common import carried, ddl, require, slices
 
 #: In the order in which spans with one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh")
@@ -171,15 +171,17 @@ def mask(text: str, spans: list[tuple[str, int, int]], sign: str = "[{}]") -> st
     return "".join(out) + text[at:]
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", masked: bool = False, carry: bool = False) -> DataFrame:
     """Rows (id_col, spans) and, if masked, the text with its secrets replaced.
 
     spans is an array of (kind, start, end) in code points, end exclusive. One
     pass over whole texts, no shuffle; one row out per row in. Null and empty
     texts have no spans (masked: null stays null). Ties, repeated rows and
-    null ids stay as they are; other columns are not read.
+    null ids stay as they are. Other columns are not read, or with carry come
+    along as they are; spans and masked replace columns of these names.
     """
     require(docs, id_col, text_col)
+    more = carried(docs, carry, id_col, text_col, "spans", "masked")
     key = docs.select(id_col).dtypes[0][1]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -191,10 +193,11 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 columns = [part.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in x] for x in spans], kind)]
                 if masked:
                     columns.append(pa.array([mask(t, s) if s else t for t, s in zip(texts, spans)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "spans", "masked"][: len(columns)])
+                names = [id_col, "spans", "masked"][: len(columns)]
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=[*names, *more])
 
-    schema = f"`{id_col}` {key}, spans array<{SPAN}>" + ", masked string" * masked
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = f"`{id_col}` {key}, spans array<{SPAN}>" + ", masked string" * masked + ddl(docs, more)
+    return docs.select(id_col, F.col(text_col).cast("string"), *(f"`{c}`" for c in more)).mapInArrow(run, schema)
 
 
 def joined(spans: Column) -> Column:

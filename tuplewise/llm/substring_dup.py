@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, mix, require, shingle_hashes, slices
+from .common import WordHashes, carried, ddl, materialise, mix, require, shingle_hashes, slices
 
 ANCHOR = 8
 _STEP = 0x9E3779B97F4A7C15
@@ -78,7 +78,7 @@ def factors(blocks: list[tuple[int, int]], singles: list[int], window: int) -> l
     return spans
 
 
-def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Return (id_col, n_words, n_removed, spans, kept), a row per input row.
 
     Words are runs of anything but space and \\x09-\\x0D. A word goes if a
@@ -88,12 +88,18 @@ def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", t
     space. Null, empty and short texts lose nothing (kept is empty without
     words). Repeated rows are occurrences of each other, so their windows go;
     rows are told apart by two hashes of id and text, so null and equal ids
-    are fine. An empty table gives no rows; other columns are not read.
+    are fine. An empty table gives no rows. Other columns are not read, or with
+    carry come along as they are, with the text; results replace columns of
+    their names.
     """
     require(docs, id_col, text_col)
+    added = ("n_words", "n_removed", "spans", "kept")
+    more = carried(docs, carry, id_col, *added)
     key = docs.select(id_col).dtypes[0][1]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "id").alias("k2"))
+    plain = docs.select(F.col(id_col).alias("id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(more)))
+    keyed = plain.select("*", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "id").alias("k2"))
+    along = [f"c{i}" for i in range(len(more))]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(window)
@@ -133,8 +139,8 @@ def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", t
                     at = pa.array(np.concatenate(keys))
                     yield pa.RecordBatch.from_arrays([part.column(2).take(at), part.column(3).take(at), *(pa.array(np.concatenate(x)) for x in zip(*found))], names=["k1", "k2", "start", "content"])
 
-    # id goes along so that both joins read one shuffle of the texts.
-    unsettled = keyed.join(hits.filter(F.size("open") > 0).select("k1", "k2", "open"), ["k1", "k2"]).select("id", "text", "k1", "k2", "open")
+    # All columns go along so that both joins read one shuffle of the texts.
+    unsettled = keyed.join(hits.filter(F.size("open") > 0).select("k1", "k2", "open"), ["k1", "k2"]).select("id", "text", "k1", "k2", "open", *along)
     windows = unsettled.mapInArrow(boundary, "k1 long, k2 long, start long, content long")
     twice = windows.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content")
     singles = windows.join(twice, "content", "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("singles"))
@@ -154,10 +160,10 @@ def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", t
                     for column, value in zip(rows, (len(words), len(words) - len(kept), [{"start": a, "end": b} for a, b in gone], b" ".join(kept).decode())):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, rows, kinds)], names=[id_col, "n_words", "n_removed", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, rows, kinds), *part.columns[4:]], names=[id_col, *added, *more])
 
-    ready = keyed.join(hits.select("k1", "k2", "known"), ["k1", "k2"], "left").join(singles, ["k1", "k2"], "left").select("id", "text", "known", "singles")
-    return ready.mapInArrow(remove, f"`{id_col}` {key}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    ready = keyed.join(hits.select("k1", "k2", "known"), ["k1", "k2"], "left").join(singles, ["k1", "k2"], "left").select("id", "text", "known", "singles", *along)
+    return ready.mapInArrow(remove, f"`{id_col}` {key}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string" + ddl(docs, more))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
