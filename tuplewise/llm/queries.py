@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .lm_score import op6_lm_score
 from .near_dup import op10_minhash_near_dup
 from .packing import op1_best_fit_packing
 from .quality import op5_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_score": op6_lm_score,
     "op8_url_filter": op8_url_filter,
     "op10_minhash_near_dup": op10_minhash_near_dup,
     "op9_byte_bpe": op9_byte_bpe,
