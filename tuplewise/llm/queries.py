@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .chat import op7_chat_format
 from .lm_score import op6_lm_score
 from .near_dup import op10_minhash_near_dup
 from .packing import op1_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_lm_score": op6_lm_score,
+    "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
     "op10_minhash_near_dup": op10_minhash_near_dup,
     "op9_byte_bpe": op9_byte_bpe,
