@@ -6,6 +6,7 @@ from .bpe import op9_byte_bpe
 from .chat import op7_chat_format
 from .lm_score import op6_lm_score
 from .near_dup import op10_minhash_near_dup
+from .oracle import SQL
 from .packing import op1_best_fit_packing
 from .quality import op5_quality_rules
 from .secrets import op3_secret_scan
@@ -26,4 +27,4 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
