@@ -17,3 +17,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["n_name", "suppliers", "cents"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_import_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 50"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)

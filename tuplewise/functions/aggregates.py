@@ -83,8 +83,7 @@ def rmax(attr: str) -> Aggregate:
 
 def count_where(condition: Column | str) -> Aggregate:
     """Number of tuples for which the condition holds."""
-    test = F.expr(condition) if isinstance(condition, str) else condition
-    return Aggregate(lambda _: F.count_if(test), 0)
+    return Aggregate(lambda _: F.count_if(F.expr(condition) if isinstance(condition, str) else condition), 0)
 
 
 def rrelation(*attrs: str) -> Aggregate:
