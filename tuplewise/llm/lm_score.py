@@ -35,7 +35,7 @@ ENDINGS = 32
 WORDS = 192
 COARSE = 16
 #: Frequent words whose counts are broadcast, at most (16 bytes each).
-HEAD = 1_000_000
+HEAD = 500_000
 #: Types: words, endings, the end; the last is also what stands before a text.
 END = WORDS + ENDINGS
 TYPES = END + 1
@@ -173,8 +173,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if held > HEAD:
             break
         least = r.least
-    head = counts.filter(F.col("n") >= least).toPandas().sort_values("code")
-    head_codes, head_n = head["code"].to_numpy(np.int64), head["n"].to_numpy(np.int64)
+    head = counts.filter(F.col("n") >= least).toArrow().sort_by("code")
+    head_codes, head_n = head.column("code").to_numpy(), head.column("n").to_numpy()
     order = [i for i in np.lexsort((head_codes, -head_n)) if head_codes[i] != np.int64(np.uint64(END_CODE))][:WORDS]
     top = np.array(sorted((head_codes[i], t) for t, i in enumerate(order)), np.int64).reshape(-1, 2)
     top = np.concatenate([top, [[np.int64(np.uint64(END_CODE)), END]]])
@@ -193,8 +193,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         cells = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(seen[cells])], names=["cell", "n"])
 
-    triples = training.mapInArrow(count_triples, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    model.log10p = train(triples["cell"].to_numpy(np.int64), triples["n"].to_numpy(np.float64)).ravel()
+    triples = training.mapInArrow(count_triples, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    model.log10p = train(triples.column("cell").to_numpy(), triples.column("n").to_numpy().astype(np.float64)).ravel()
 
     # Words of each ending that are no types, and their tokens.
     endings = counts.groupBy(F.col("code").bitwiseAND(ENDINGS - 1).alias("e")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
