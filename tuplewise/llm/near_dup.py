@@ -135,9 +135,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, least: float) -> DataFrame:
+def _across(rows: DataFrame, least: float, best: bool) -> DataFrame:
     """Likely pairs of one bucket that lie in different components.
 
+    All of them, or with best only each row's most likely one in each tile.
     rows: key, id, component, sig, members (of the bucket). Buckets are dealt
     over pairs of tiles of about TILE rows by a hash of the id; each task goes
     through its sorted tile pairs one by one.
@@ -156,11 +157,17 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
         right = left if same else np.flatnonzero(own != own.min())
         for at in range(0, len(left), 128):
             block = left[at : at + 128]
-            good = (comp[block][:, None] != comp[right][None, :]) & ((ids[block][:, None] < ids[right][None, :]) | (not same))
+            good = (comp[block][:, None] != comp[right][None, :]) & ((ids[block][:, None] < ids[right][None, :]) | best | (not same))
             rows_ = np.flatnonzero(good.any(axis=1))
             if len(rows_):
-                good[rows_] &= _agreement(sig[block[rows_]], sig[right]) >= least
-                x, y = np.nonzero(good)
+                likely = np.where(good[rows_], _agreement(sig[block[rows_]], sig[right]), -1)
+                if best:
+                    y = likely.argmax(axis=1)
+                    x = np.flatnonzero(likely[np.arange(len(y)), y] >= least)
+                    x, y = rows_[x], y[x]
+                else:
+                    x, y = np.nonzero(likely >= least)
+                    x = rows_[x]
                 a, b = ids[block[x]], ids[right[y]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -191,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
     changes. Each round is written to the shared folder. Self-loops vanish.
     """
     u, v, m = F.col("u"), F.col("v"), F.col("m")
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(u != v).distinct()
+    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(u != v).distinct(), "edges")
     before = None
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
@@ -208,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
     return leaf.unionByName(now.select(v.alias("id"), v.alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, margin: float = 0.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id_col, n_shingles, component_id, kept), a row per input row.
 
     Two texts are linked if 100 * intersection >= percent * union of their
@@ -220,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, margi
     and equal texts are linked; an empty table gives no rows; other columns are
     not read. A pair at 80 percent meets in no bucket with a probability of
     1.3e-7; margin is how far below percent the estimate from a signature may
-    lie (five and more standard deviations).
+    lie (4.7 standard deviations at 85 percent).
     """
     require(docs, id_col, text_col)
     least = percent / 100 - margin
@@ -237,21 +244,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, margi
     texts = materialise(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
 
     pairs = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialise(_confirmed(_likely(pairs, reps, least), texts, percent, width), "links")
-    first = materialise(components(stars), "first")
-
-    placed = shared.join(first, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_rows = placed.join(mixed, "key", "left_semi").join(reps.select("id", "sig"), "id")
-    rest = _confirmed(_across(open_rows, least).distinct(), texts, percent, width)
-    ends = first.select(F.col("id"), F.col("component"))
-    joined = rest.join(ends.toDF("a", "ca"), "a", "left").join(ends.toDF("b", "cb"), "b", "left")
-    second = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-
-    final = first.join(second.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-    alone = second.join(first, "id", "left_anti")
-    final = final.unionByName(alone)
-    of_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    now = materialise(components(_confirmed(_likely(pairs, reps, least), texts, percent, width)), "components")
+    # First each document's likeliest partner elsewhere, which joins most of a
+    # group's pieces in linear work; then all pairs that still lie apart.
+    for best, cut in ((True, percent / 100 - margin / 4), (False, least)):
+        placed = shared.join(now, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        apart = placed.join(mixed, "key", "left_semi").join(reps.select("id", "sig"), "id")
+        links = _confirmed(_across(apart, cut, best).distinct(), texts, percent, width)
+        ends = links.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left")
+        more = materialise(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
+        moved = now.join(more.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        now = materialise(moved.unionByName(more.join(now, "id", "left_anti")), "components")
+
+    of_class = classes.join(now.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
