@@ -140,6 +140,30 @@ def test_secrets(docs, rows):
     assert got.count() == len(rows) and find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_that_follow_each_other_or_are_wrapped():
+    import base64
+
+    tlv = lambda tag, body: bytes([tag, len(body)]) + body
+    raws = [tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, bytes([i]) * 32))) for i in range(3)]
+    keys = [base64.b64encode(r).decode() for r in raws]
+    assert {len(k) for k in keys} == {64}
+    found = lambda t: [t[a:b] for k, a, b in find_spans(t) if k in ("der", "openssh")]
+    assert found("\n".join(keys)) == keys and found("\r\n".join(keys)) == keys and found("\\n".join(keys)) == keys
+    assert found("MIIE" + "A" * 60 + "\n" + keys[0]) == [keys[0]]
+    assert found("MC4C" + "A" * 60 + "\n" + keys[0] + "\n" + keys[1]) == keys[:2]
+    assert found("MIIE" + "A" * 30 + "/" + keys[0]) == [keys[0]]
+    body = b"\2\1\0" + b"\x02\x81\x80" + b"\1" * 128 + b"\2\3\1\0\1" + (b"\2\x40" + b"\2" * 64) * 6
+    rsa = base64.b64encode(b"\x30\x82" + len(body).to_bytes(2, "big") + body).decode()
+    lines = [rsa[i : i + 64] for i in range(0, len(rsa), 64)]
+    for gap in ("\n", "\\n", "\\r\\n", "\n    ", " \n\t", "\\\\n"):
+        body = gap.join(lines)
+        assert found(f"-----BEGIN RSA PRIVATE KEY-----{gap}{body}{gap}-----END RSA PRIVATE KEY-----") == [body], gap
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"q" * 2000)).decode()
+    body = "\\n".join(ssh[i : i + 70] for i in range(0, len(ssh), 70))
+    assert found(f"{body}\\n{keys[0]}") == [body, keys[0]]
+
+
 def brute_repeats(rows, n=35):
     split = [words_of(t) for _, t in rows]
     seen = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))

@@ -31,8 +31,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of 16 or more: a shorter run holds no match, a longer one is one match from its start.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: A DER sequence begins with the byte 30; an OpenSSH file with its magic. Lines may be wrapped.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{20,}(?:\r?\n[A-Za-z0-9+/_-]+)*")
+#: A DER sequence begins with the byte 30; an OpenSSH file with its magic. The letter of an escaped line end isn't part of the run.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Between the lines of one key: a line end, also an escaped one, with indentation.
+_BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*(?=[A-Za-z0-9+/_-])")
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9a-f]{62,}|[0-9A-F]{62,})")
 _MAGIC = b"openssh-key-v1\0"
 
@@ -132,6 +135,43 @@ def _json(text: str) -> dict:
     return out if isinstance(out, dict) else {}
 
 
+def _lines(text: str, at: int, need: int) -> tuple[str, int, bool]:
+    """The first need characters of the wrapped run at at, their end in text, whether there are as many."""
+    parts, end = [], at
+    while run := _RUN.match(text, at):
+        end = min(run.end(), at + need)
+        parts.append(text[at:end])
+        need -= end - at
+        gap = _BREAK.match(text, end) if need else None
+        if gap is None:
+            break
+        at = gap.end()
+    return "".join(parts), end, not need
+
+
+def _key_at(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end, without padding, of the base64 key that begins at start.
+
+    Only what the encoded lengths ask for is read, so that what follows a key,
+    or what only looks like one, can hold the next.
+    """
+    if text[start] == "M":
+        raw = _decode64(_lines(text, start, 8)[0])
+        size = raw[1] & 0x7F if raw[1] >= 0x80 else 0
+        total = 2 + size + (int.from_bytes(raw[2 : 2 + size], "big") if size else raw[1])
+        if size > 4 or total * 3 > 4 * len(text):
+            return None
+        shown, end, whole = _lines(text, start, -(-total * 4 // 3))
+        return ("der", end) if whole and private_key_length(_decode64(shown)) == total else None
+    need, whole = 1024, True
+    while whole:
+        shown, _, whole = _lines(text, start, need)
+        if n := openssh_length(_decode64(shown)):
+            return "openssh", _lines(text, start, -(-n * 4 // 3))[1]
+        need *= 4
+    return None
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as in KINDS."""
     out = []
@@ -145,13 +185,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             algorithm = _json(m[1]).get("alg")
             if isinstance(algorithm, str) and _json(m[2]) and (m[3] or algorithm.lower() == "none"):
                 out.append(("jwt", *m.span()))
-    for m in _BASE64.finditer(text):
-        shown = [(i, c) for i, c in enumerate(m[0]) if c not in "\r\n"]
-        raw = _decode64("".join(c for _, c in shown))
-        for kind, length in (("der", private_key_length), ("openssh", openssh_length)):
-            if n := length(raw):
-                end = m.start() + shown[min(len(shown), -(-n * 4 // 3)) - 1][0] + 1
-                out.append((kind, m.start(), end + len(re.match(r"={0,2}", text[end : end + 2])[0])))
+    at = 0
+    while m := _BASE64.search(text, at):
+        found = _key_at(text, m.start())
+        at = found[1] if found else m.start() + 1
+        if found:
+            out.append((found[0], m.start(), at + len(re.match(r"={0,2}", text[at : at + 2])[0])))
     for m in _HEX_KEY.finditer(text):
         if n := private_key_length(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             out.append(("der", m.start(), m.start() + 2 * n))
