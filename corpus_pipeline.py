@@ -25,10 +25,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 80 percent of five-word shingles."""
+    """One row of each group linked at 80 percent of five-word shingles.
+
+    Rows are documents of their own, also those with the same or a null id;
+    the row with the smallest id stays.
+    """
     release(spark)
-    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Written, so that a row has the same key in each pass.
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), "*"), "rows")
+    placed = near_duplicates(rows, percent=80, id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = placed.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -384,3 +384,22 @@ def test_pipeline(spark, tmp_path):
     assert "[assign]" in left[6].text and left[6].n_chars == len(left[6].text)
     total = lambda df: sorted((r.doc_id, r.piece, hashlib.md5(r.ids).hexdigest()) for r in df.collect())
     assert total(corpus_pipeline.run(spark, str(tmp_path))) == total(seen["packing"])
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    same, null, near, other, short = text(100), text(100), text(100), text(100), text(20)
+    rows = [(1, same), (1, same), (None, null), (None, null), (None, near + " end"), (3, near), (3, other), (4, other), (None, short), (None, short), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "in"))
+    at = spark.read.parquet(str(tmp_path / "in"))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_dedup", "substring_dedup"):
+        stages[name](spark, at, str(tmp_path)).write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        want = [(1, same), (None, null), (3, near), (3, other), (None, short)]
+        lost = [(None, None)] * 2 if name == "near_dedup" else [(None, "")] * 2
+        assert Counter((r.doc_id, r.text) for r in at.collect()) in (Counter(want + lost), Counter(want + [(None, None)] * 2))
