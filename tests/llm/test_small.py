@@ -1,6 +1,7 @@
 """Brute force, edge cases and whole queries of the operators, on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -403,3 +404,18 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
         want = [(1, same), (None, null), (3, near), (3, other), (None, short)]
         lost = [(None, None)] * 2 if name == "near_dedup" else [(None, "")] * 2
         assert Counter((r.doc_id, r.text) for r in at.collect()) in (Counter(want + lost), Counter(want + [(None, None)] * 2))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_are_rarely_missed_by_signatures(spark, percent, monkeypatch):
+    used, likely, across = [], near_dup._likely, near_dup._across
+    monkeypatch.setattr(near_dup, "_likely", lambda pairs, sigs, least: used.append(least) or likely(pairs, sigs, least))
+    monkeypatch.setattr(near_dup, "_across", lambda rows, least, best: used.append(None if best else least) or across(rows, least, best))
+    table = spark.createDataFrame([(i, "some words that stand in two rows and more of them") for i in range(2)], "doc_id long, text string")
+    assert near_duplicates(table, percent=percent).filter("kept").count() == 1
+    p = percent / 100 + (1 - percent / 100) / 256
+    of = lambda k: math.comb(200, k) * p**k * (1 - p) ** (200 - k)
+    for least in filter(None, used):
+        missed = [k for k in range(201) if (k / 200 - 1 / 256) / (255 / 256) < least]
+        assert sum(map(of, missed)) <= 1e-7 < sum(map(of, [*missed, len(missed)]))
+    assert len(used) == 3

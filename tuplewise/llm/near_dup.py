@@ -13,6 +13,7 @@ confirmed on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,18 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "bands").mapInArrow(run, "key long, id long")
 
 
+def least_estimate(percent: int, miss: float) -> float:
+    """The estimate below which a pair at percent falls with a probability of at most miss.
+
+    One-byte minima agree independently, by chance once in 256 if not alike.
+    """
+    p = percent / 100 + (1 - percent / 100) / 256
+    agree, below = 0, 0.0
+    while agree <= HASHES and (below := below + comb(HASHES, agree) * p**agree * (1 - p) ** (HASHES - agree)) <= miss:
+        agree += 1
+    return ((agree - 0.5) / HASHES - 1 / 256) / (255 / 256)  # half a count lower, against rounding
+
+
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of each row of a with each of b, from one byte a hash."""
     equal = np.empty((len(a), len(b)), np.float32)
@@ -215,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
     return leaf.unionByName(now.select(v.alias("id"), v.alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, margin: float = 0.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id_col, n_shingles, component_id, kept), a row per input row.
 
     Two texts are linked if 100 * intersection >= percent * union of their
@@ -226,11 +239,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, margi
     kept. Rows that repeat an id count as one document and all come back. Ties
     and equal texts are linked; an empty table gives no rows; other columns are
     not read. A pair at 80 percent meets in no bucket with a probability of
-    1.3e-7; margin is how far below percent the estimate from a signature may
-    lie (4.7 standard deviations at 85 percent).
+    1.3e-7; miss is the largest probability with which the signatures of a pair
+    exactly at percent may agree too little for it to be confirmed.
     """
     require(docs, id_col, text_col)
-    least = percent / 100 - margin
+    least = least_estimate(percent, miss)
     sigs = materialise(_signatures(docs, id_col, text_col, width), "signatures")
     known = sigs.filter("digest is not null and id is not null")
     classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -247,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, margi
     now = materialise(components(_confirmed(_likely(pairs, reps, least), texts, percent, width)), "components")
     # First each document's likeliest partner elsewhere, which joins most of a
     # group's pieces in linear work; then all pairs that still lie apart.
-    for best, cut in ((True, percent / 100 - margin / 4), (False, least)):
+    for best, cut in ((True, percent / 100 - (percent / 100 - least) / 4), (False, least)):
         placed = shared.join(now, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         apart = placed.join(mixed, "key", "left_semi").join(reps.select("id", "sig"), "id")
