@@ -419,3 +419,12 @@ def test_near_duplicates_are_rarely_missed_by_signatures(spark, percent, monkeyp
         missed = [k for k in range(201) if (k / 200 - 1 / 256) / (255 / 256) < least]
         assert sum(map(of, missed)) <= 1e-7 < sum(map(of, [*missed, len(missed)]))
     assert len(used) == 3
+
+
+def test_repeats_of_wide_windows(spark):
+    rnd = random.Random(4)
+    text = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    passage = text(4000)
+    rows = [(1, f"{text(500)} {passage} {text(200)}"), (2, f"{passage} {text(700)}"), (3, text(900))]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=600)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute_repeats(rows, 600)

@@ -1,15 +1,15 @@
-"""Operator 4: substring dedup by relative Lempel-Ziv parsing.
+"""Operator 4: substring dedup by anchor blocks, in place of Lempel-Ziv factors.
 
 Reference blocks. Every window of 35 words has an anchor: the run of 8 words
 in it with the least hash. Consecutive windows with one anchor make a block of
 at most 28 windows; equal texts are cut into equal blocks wherever they stand.
 The blocks of all documents, by anchor, are the reference index.
 
-Parsing. A document goes through the index block by block, and takes the
-longest run of blocks known from elsewhere as one factor. An anchor that is
+Lookup. No longest match is sought, as relative Lempel-Ziv parsing would do:
+blocks are counted by hash, and runs of known ones are merged. An anchor that is
 found once starts no window found elsewhere. An anchor whose blocks are all
 equal settles these blocks whole. Only blocks with a known anchor but another
-surrounding stand at a factor's boundary: their windows are checked one by one.
+surrounding stand at a run's boundary: their windows are checked one by one.
 
 So some 7 percent of the windows are indexed as one row each, long repeats
 are never compared word by word, and no row depends on the size of a group.
@@ -34,8 +34,8 @@ class Parser:
     """Cuts the words of one text after another into reference blocks."""
 
     def __init__(self, window: int):
-        if window < ANCHOR:
-            raise ValueError(f"a window has at least {ANCHOR} words")
+        if not ANCHOR <= window <= ANCHOR + 0xFFFE:
+            raise ValueError(f"a window has {ANCHOR} to {ANCHOR + 0xFFFE} words")
         self.window, self.reach = window, window - ANCHOR + 1
         self.hashes = WordHashes()
         self.power = self.inverse = np.ones(1, np.uint64)
@@ -111,7 +111,7 @@ def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", t
                     first, count, anchor = parser.blocks(hashes)
                     if len(first):
                         keys.append(np.full(len(first), i))
-                        found.append((first << 8 | count, anchor, parser.content(parser.sums(hashes), first, count + window - 1)))
+                        found.append((first << 16 | count, anchor, parser.content(parser.sums(hashes), first, count + window - 1)))
                 if keys:
                     at = pa.array(np.concatenate(keys))
                     yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(2).take(at), *(pa.array(np.concatenate(x)) for x in zip(*found))], names=["k1", "k2", "span", "anchor", "block"])
@@ -131,8 +131,8 @@ def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", t
                 for i, (t, spans) in enumerate(zip(part.column(1).to_pylist(), part.column(4).to_pylist())):
                     sums = parser.sums(parser.hashes.of(t.encode("utf-8").split()))
                     spans = np.array(spans, np.int64)
-                    count = spans & 0xFF
-                    start = np.repeat((spans >> 8) - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    count = spans & 0xFFFF
+                    start = np.repeat((spans >> 16) - np.cumsum(count) + count, count) + np.arange(count.sum())
                     keys.append(np.full(len(start), i))
                     found.append((start, parser.content(sums, start, np.full(len(start), window))))
                 if keys:
@@ -151,7 +151,7 @@ def drop_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", t
                 rows: list[list] = [[], [], [], []]
                 for t, spans, single in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
                     words = t.encode("utf-8").split()
-                    gone = factors([(s >> 8, s & 0xFF) for s in spans or ()], single or [], window)
+                    gone = factors([(s >> 16, s & 0xFFFF) for s in spans or ()], single or [], window)
                     kept, at = [], 0
                     for start, end in gone:
                         kept += words[at:start]
