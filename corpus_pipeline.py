@@ -63,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     release(spark)
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), markers=True)
 
 
 def _with_text(df: DataFrame, text, columns: list[str]) -> DataFrame:

@@ -428,3 +428,14 @@ def test_repeats_of_wide_windows(spark):
     rows = [(1, f"{text(500)} {passage} {text(200)}"), (2, f"{passage} {text(700)}"), (3, text(900))]
     got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=600)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute_repeats(rows, 600)
+
+
+def test_packing_knows_added_tokens(spark, tmp_path):
+    from tuplewise.llm.packing import op1_best_fit_packing
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "x \n<|endoftext|>  y <|endoftext", "no marker", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in op1_best_fit_packing(spark, str(tmp_path)).collect()}
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}

@@ -13,6 +13,7 @@ partition, a running sum of these counts, and a search in the plan.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -155,6 +156,17 @@ def places(plan: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+@lru_cache(maxsize=2)
+def _markers(path: str) -> tuple[re.Pattern, dict[str, bytes]]:
+    """What finds the added tokens of a tokenizer file, the longest first, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("this file's added tokens are not plain strings")
+    ids = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")" if ids else "(?!)()"), ids
+
+
 @lru_cache(maxsize=2)
 def _ids(path: str) -> Memo:
     """Piece of text after a space -> its ids, by a tokenizer file.
@@ -186,13 +198,14 @@ def split_lengths(n: int, capacity: int) -> list[int]:
     return [n % capacity] * (n % capacity > 0) + [capacity] * (n // capacity)
 
 
-def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True, markers: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut documents into pieces and lay these in sequences of at most capacity ids.
 
     Returns per piece (id_col, piece, start, length, ids_crc32, sequence_id,
     offset) and, with keep_ids, ids (little-endian unsigned 32-bit). A document
-    is its text's ids by the tokenizer file at path, without special tokens
-    (their strings are ordinary text), then end_id. Null and empty texts are
+    is its text's ids by the tokenizer file at path, then end_id; nothing is put
+    around it. With markers, the strings of the file's added tokens have their
+    ids, as the tokenizers library does by default; else they are ordinary text. Null and empty texts are
     end_id alone. Repeated rows and equal or null ids of documents are packed
     like any other rows; an empty table gives no pieces; other columns are not
     read. Runs one pass over the texts; its pieces are written to the shared
@@ -207,13 +220,24 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, at = _ids(path), Counter(), TaskContext.get().partitionId()
+        marker, marked = _markers(path) if markers else (None, {})
+
+        def plain(text: str) -> bytes:
+            words = cut(text)
+            return memo.first(words[0]) + b"".join(map(memo.__getitem__, words[1:]))
+
+        def encode(text: str) -> bytes:
+            if not any(m in text for m in marked):
+                return plain(text)
+            parts = marker.split(text)  # every other one is a marker
+            return b"".join(marked[p] if i % 2 else plain(p) for i, p in enumerate(parts))
+
         for batch in batches:
             for part in slices(batch):
                 row: list[list] = [[] for _ in names[1:]]
                 of = []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    words = cut(text or "")
-                    ids = memo.first(words[0]) + b"".join(map(memo.__getitem__, words[1:])) + end
+                    ids = encode(text or "") + end
                     start = 0
                     for k, n in enumerate(split_lengths(len(ids) // 4, capacity)):
                         mine = ids[4 * start : 4 * (start + n)]
@@ -253,4 +277,4 @@ def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False, markers=True)
