@@ -4,62 +4,97 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
+from contextvars import ContextVar
+from typing import ClassVar
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on a local master whose session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/tuplewise"
 
 #: Words are maximal runs of anything but space and \x09-\x0D; bytes.split()
 #: without arguments splits at exactly these six bytes.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-_scratch: list[str] = []
-_results: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    RuntimeError where it is unset and the master isn't local: a folder of one
+    machine would hide each executor's files from the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = FALLBACK_DIR
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, *, scratch: bool = True) -> DataFrame:
+class Scope:
+    """The tables that materialise() writes while it is entered; scopes nest.
+
+    release() deletes them, so call it once what reads them is written. Tables
+    of no scope, and of scopes that nobody releases, go when Python ends.
+    """
+
+    _open: ContextVar[tuple[Scope, ...]] = ContextVar("open scopes", default=())
+    _all: ClassVar[list[Scope]] = []
+
+    def __init__(self):
+        self.paths: list[str] = []
+        if not Scope._all:
+            atexit.register(_at_exit)
+        Scope._all.append(self)
+
+    def __enter__(self) -> Scope:
+        Scope._open.set((*Scope._open.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scope._open.set(Scope._open.get()[:-1])
+
+    def release(self, spark: SparkSession) -> None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = hadoop(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+        if self in Scope._all:
+            Scope._all.remove(self)
+
+    @classmethod
+    def current(cls) -> Scope:
+        return cls._open.get()[-1] if cls._open.get() else _process
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    Cuts lineage: a lost executor re-reads files instead of recomputing.
-    release() deletes scratch tables; the others go when Python ends.
+    Cuts lineage: a lost executor re-reads files instead of recomputing. The
+    table lives as long as the scope that is entered now.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    if not _scratch and not _results:
-        atexit.register(_at_exit)
-    (_scratch if scratch else _results).append(path)
+    Scope.current().paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, paths: list[str] = _scratch) -> None:
-    """Delete every scratch table; call it once their results are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while paths:
-        path = hadoop(paths.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def _at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:
         with contextlib.suppress(Exception):  # the JVM may be gone already
-            release(spark)
-            release(spark, _results)
+            for scope in [*Scope._all]:
+                scope.release(spark)
+
+
+_process = Scope()
 
 
 class WordHashes(dict):

@@ -203,6 +203,15 @@ def _across(rows: DataFrame, least: float, best: bool) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def _loose(df: DataFrame, key: str) -> DataFrame:
+    """df with its partitioning by an integer key forgotten.
+
+    An aggregate by the key is dealt by it already; a join would then shuffle
+    the other side alone, and adaptive execution can't split a hot key.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges (a, b); component is its smallest node.
 
@@ -216,9 +225,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(u, F.min("v")).alias("m"))
-        large = both.filter(v > u).join(least, "u").select(v.alias("u"), m.alias("v")).distinct()
+        large = both.filter(v > u).join(_loose(least, "u"), "u").select(v.alias("u"), m.alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter(v != m).select(v.alias("u"), m.alias("v"))
+        small = large.join(_loose(least, "u"), "u").filter(v != m).select(v.alias("u"), m.alias("v"))
         now = materialise(small.unionByName(least.select("u", m.alias("v"))).distinct(), "stars")
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state.n:
@@ -236,25 +245,32 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, miss:
     component_id is the smallest id reachable by links, kept marks that
     document. Texts that are null, empty or without words are linked with
     nothing. Ids are integers; rows with a null id are linked with nothing and
-    kept. Rows that repeat an id count as one document and all come back. Ties
-    and equal texts are linked; an empty table gives no rows; other columns are
-    not read. A pair at 80 percent meets in no bucket with a probability of
-    1.3e-7; miss is the largest probability with which the signatures of a pair
-    exactly at percent may agree too little for it to be confirmed.
+    kept. Rows that repeat an id are one document, whose text is the least of
+    theirs; all come back. Ties and equal texts are linked; very long texts are
+    read whole; an empty table gives no rows; other columns are not read. A
+    pair at 80 percent meets in no bucket with a probability of 1.3e-7; miss is
+    the largest probability with which the signatures of a pair exactly at
+    percent may agree too little for it to be confirmed.
     """
     require(docs, id_col, text_col)
     least = least_estimate(percent, miss)
-    sigs = materialise(_signatures(docs, id_col, text_col, width), "signatures")
-    known = sigs.filter("digest is not null and id is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = materialise(known.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).select("id", "bands", "sig").dropDuplicates(["id"]), "classes")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sigs = materialise(_signatures(texts, "id", "text", width), "signatures")
+    again = materialise(texts.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated")
+    texts, known, unique = texts.filter("id is not null and text is not null"), sigs, again.isEmpty()
+    if not unique:
+        chosen = materialise(texts.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "chosen")
+        texts = texts.join(again, "id", "left_anti").unionByName(chosen)
+        known = materialise(sigs.join(again, "id", "left_anti").unionByName(_signatures(chosen, "id", "text", width)), "known")
+    known = known.filter("digest is not null and id is not null")
+    # Written, so that joins by digest shuffle both sides and a hot one can be split.
+    classes = materialise(known.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    reps = materialise(known.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).select("id", "bands", "sig"), "reps")
 
     rows = _bucket_rows(reps)
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = materialise(rows.join(buckets, "key"), "buckets")
-    wanted = shared.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    texts = materialise(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    shared = materialise(rows.join(_loose(buckets, "key"), "key"), "buckets")
+    texts = materialise(texts.join(shared.select("id").distinct(), "id", "left_semi"), "candidates")
 
     pairs = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     now = materialise(components(_confirmed(_likely(pairs, reps, least), texts, percent, width)), "components")
@@ -263,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, miss:
     for best, cut in ((True, percent / 100 - (percent / 100 - least) / 4), (False, least)):
         placed = shared.join(now, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        apart = placed.join(mixed, "key", "left_semi").join(reps.select("id", "sig"), "id")
+        apart = placed.join(_loose(mixed, "key"), "key", "left_semi").join(reps.select("id", "sig"), "id")
         links = _confirmed(_across(apart, cut, best).distinct(), texts, percent, width)
         ends = links.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left")
         more = materialise(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
@@ -271,7 +287,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, miss:
         now = materialise(moved.unionByName(more.join(now, "id", "left_anti")), "components")
 
     of_class = classes.join(now.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("id", "n", "digest").join(of_class, "digest", "left")
+    if unique:
+        out = sigs.select("id", "n", "digest").join(of_class, "digest", "left")
+    else:
+        out = sigs.select("id", "n").join(known.select("id", "digest").join(of_class, "digest").select("id", "component"), "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
