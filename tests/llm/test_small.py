@@ -232,11 +232,67 @@ def test_lm(spark, docs):
     assert score_texts(docs.limit(0)).count() == 0
 
 
-def test_lm_is_normalised():
-    from tuplewise.llm.lm_score import COARSE, TYPES, train
+def test_lm_matches_brute_force(spark, docs):
+    """Every token's probability by a plain softmax over all groups and members, and over all words."""
+    from tuplewise.llm import lm_score as lm
+
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text != LONG]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learnt = lm.learn(table.filter("doc_id % 2 = 0").select("text"), words=20, head=30)
+    t, p = learnt.model.types, learnt.model.params
+    counts = Counter()
+    for i, x in rows:
+        if i is not None and i % 2 == 0:
+            counts.update((x or "").encode().lower().split() + [b"\n"])
+    code = lambda w: int(np.uint64(lm.word_code(w)).astype(np.int64))
+    top = {w for w in counts if code(w) in t.codes}
+    assert len(top) == 21 and min(counts[w] for w in top) >= max(c for w, c in counts.items() if w not in top)
+    beyond = defaultdict(list)
+    for w, n in counts.items():
+        if w not in top:
+            beyond[code(w) % lm.ENDINGS].append(n)
+
+    def soft(h, rows):
+        e = np.exp(np.hstack([h, [1.0]]) @ rows.T.astype(float))
+        return e / e.sum()
+
+    def of_all(two, one):
+        """Probability of each type after two others."""
+        h = p["r"][one].astype(float) * p["c"][0] + p["r"][two].astype(float) * p["c"][1]
+        groups = soft(h, p["g"])
+        return np.array([[groups[g] * x for x in soft(h, p["w"][g * t.members : (g + 1) * t.members])] for g in range(t.groups)])
+
+    after, out = {}, {}
+    for i, x in rows:
+        one = two = t.start
+        total = 0.0
+        for w in (x or "").encode().lower().split() + [b"\n"]:
+            if (two, one) not in after:
+                after[two, one] = of_all(two, one)
+                assert abs(after[two, one].sum() - 1) < 1e-4
+            kind = int(t.of(np.array([code(w)]))[0])
+            total += math.log10(after[two, one][kind % t.groups, kind // t.groups])
+            if w not in top:
+                of = beyond[code(w) % lm.ENDINGS]
+                total += math.log10((counts[w] + 1) / (sum(of) + len(of) + 1))
+            two, one = one, kind
+        out[i, x] = total
+    got = score_texts(table, learnt=learnt).join(table, "doc_id").collect()
+    assert len(got) >= len(rows) - 2
+    by_id = defaultdict(set)
+    for (i, _), v in out.items():
+        by_id[i].add(round(v, 2))
+    for r in got:
+        assert any(abs(r.score - v) < 0.02 + 1e-5 * abs(v) for v in by_id[r.doc_id]), (r.doc_id, r.score, by_id[r.doc_id])
 
-    p = train(np.array([5, 700, 700 + TYPES]), np.array([3.0, 9.0, 1.0]), steps=20)
-    assert p.shape == (COARSE, TYPES, TYPES) and np.allclose((10.0**p).sum(axis=2), 1, atol=1e-3)
+
+def test_lm_learns_contexts(spark):
+    """The held-out half follows the same pairs of words, which single counts can't tell."""
+    rnd = random.Random(1)
+    after = {f"k{i}": f"v{i}" for i in range(60)}
+    rows = [(i, " ".join(f"{k} {after[k]}" for k in (f"k{rnd.randrange(60)}" for _ in range(40)))) for i in range(3000)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").collect()
+    assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
 
 
 def whole_chat(turns):

@@ -1,19 +1,24 @@
 """Operator 6: scoring by a log-bilinear neural model.
 
 Words are coded by a 64-bit hash whose low bits name their ending. The model's
-types are the most frequent training words, one class per ending for all
-others, and the end of a text. The score of a type after two others is
-(A[previous] + B[coarse class of the one before]) . Q[type] + b[type]. It is
-trained in numpy by noise-contrastive estimation against the types'
-frequencies. Its data are counts of type triples over all training texts; as
-contexts are few, each step takes the objective's exact expectation over the
-noise. Batched matrix products then give every context's normalised
-log-probabilities, so a token's score is a look-up; a word that is no type
-adds its smoothed share of its class.
-
-What is counted over the corpus (words, triples) grows with it and is shuffled
-as partial counts. What is broadcast is bounded: the table of frequent words
-by HEAD entries, the model by its parameters. Rarer words are joined.
+types are the training words, most frequent first and as many as the parameter
+`types` lets in, one class per ending for words beyond them, and the end of a
+text. The two words before a token predict it: with a vector r of each type,
+h = c1 * r[previous] + c2 * r[the one before] and the score of a type is
+h . q[type] + b[type]. Types are dealt by frequency over about sqrt(types)
+groups, and a token's probability is that of its group times that within the
+group, each a softmax over some hundred scores. So it is normalised exactly,
+by batched matrix products, at a cost that grows with the root of the types.
+
+Training is noise-contrastive estimation in numpy: groups and words are told
+from sampled noise. Every task trains on all texts of its partition, from the
+same start (the unigram model); what it changed is averaged row by row, weighted
+by how often the task met the row, in a shuffled aggregation. So all training
+texts are learnt from, and what is gathered grows with them: counts of all
+words, and each task's changes.
+
+What is broadcast is bounded by two parameters: the model by its types, the
+table of frequent words by HEAD entries. Rarer words are joined.
 """
 
 from __future__ import annotations
@@ -26,19 +31,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, materialise, require, slices
 
-ENDINGS = 32
-WORDS = 192
-COARSE = 16
+ENDINGS = 64
 #: Frequent words whose counts are broadcast, at most (16 bytes each).
 HEAD = 500_000
-#: Types: words, endings, the end; the last is also what stands before a text.
-END = WORDS + ENDINGS
-TYPES = END + 1
+#: Word types of the model, at most (140 bytes each): a bound of memory.
+WORDS = 65_536
+SIZE, BATCH, GROUP_NOISE, WORD_NOISE, RATE = 16, 2048, 64, 5, 0.1
 
 
 class WordCodes(WordHashes):
@@ -60,58 +64,147 @@ END_CODE = word_code(b"\n")
 
 
 @dataclass
-class Model:
+class Types:
+    """Types by falling frequency; type t is member t // groups of group t % groups."""
+
     codes: np.ndarray  # of the type words, sorted (int64)
-    types: np.ndarray  # their types
-    log10p: np.ndarray  # (COARSE, TYPES, TYPES): coarse class before, previous, type
-
-    def types_of(self, codes: np.ndarray) -> np.ndarray:
-        out = WORDS + (codes & (ENDINGS - 1))
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            found = self.codes[at] == codes
-            out[found] = self.types[at[found]]
+    of_code: np.ndarray  # their types
+    of_ending: np.ndarray  # type of each class of endings
+    counts: np.ndarray  # training tokens of each type
+
+    def __post_init__(self):
+        self.groups = int(np.ceil(np.sqrt(len(self.counts))))
+        self.members = -(-len(self.counts) // self.groups)
+        share = np.zeros(self.groups * self.members)
+        share[: len(self.counts)] = self.counts + 0.5
+        share = share.reshape(self.members, self.groups).T / share.sum()
+        self.group_share, self.share = share.sum(axis=1), share / share.sum(axis=1, keepdims=True)
+
+    @property
+    def start(self) -> int:
+        """What stands before a text, as a type."""
+        return len(self.counts)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        out = self.of_ending[codes & (ENDINGS - 1)]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        found = self.codes[at] == codes
+        out[found] = self.of_code[at[found]]
         return out
 
+    def before(self, types: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The types one and two before each token; starts: first token of each text."""
+        one = np.concatenate([[self.start], types[:-1]])
+        one[starts] = self.start
+        two = np.concatenate([[self.start], one[:-1]])
+        two[starts] = self.start
+        return one, two
 
-def contexts(types: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Index into (COARSE, TYPES, TYPES) of each token; starts: first token of each text."""
-    previous = np.concatenate([[END], types[:-1]])
-    previous[starts] = END
-    before = np.concatenate([[END], previous[:-1]])
-    before[starts] = END
-    return (np.minimum(before, COARSE - 1) * TYPES + previous) * TYPES + types
 
+#: Parameters: vectors of types in a context, their weights by place, groups, words within groups.
+#: A row of the last two ends with its bias.
+def unlearnt(types: Types, seed: int = 1) -> dict[str, np.ndarray]:
+    random = np.random.default_rng(seed)
+    some = lambda n: random.normal(0, 0.1, (n, SIZE)).astype(np.float32)
+    log = lambda p: np.log(np.maximum(p, 1e-30)).astype(np.float32).reshape(-1, 1)
+    return {
+        "r": some(types.start + 1),
+        "c": np.ones((2, SIZE), np.float32),
+        "g": np.hstack([some(types.groups), log(types.group_share)]),
+        "w": np.hstack([some(types.groups * types.members), log(types.share)]),
+    }
+
+
+class Trainer:
+    """Noise-contrastive estimation over batches of (two before, one before, token)."""
+
+    def __init__(self, types: Types, seed: int):
+        self.types, self.random = types, np.random.default_rng(seed)
+        self.now = {k: v.copy() for k, v in unlearnt(types).items()}
+        self.squares = {k: np.full(len(v), 1e-3, np.float32) for k, v in self.now.items()}
+        self.met = {k: np.zeros(len(v), np.int64) for k, v in self.now.items()}
+        self.bounds = np.cumsum(types.share, axis=1)
+        self.bounds[:, -1] = 1.0
+        # Members drawn by frequency, a thousand for each group.
+        points = (np.arange(1024) + 0.5) / 1024
+        self.drawn = np.array([np.searchsorted(b, points) for b in self.bounds]).astype(np.int64)
+
+    def change(self, name: str, rows: np.ndarray, slope: np.ndarray) -> None:
+        """One adaptive step for each row; rows may repeat."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        total, at = np.add.reduceat(slope[order], first, axis=0), rows[first]
+        self.squares[name][at] += (total * total).mean(axis=1)
+        self.now[name][at] -= RATE * total / np.sqrt(self.squares[name][at])[:, None]
+        self.met[name][at] += np.diff(first, append=len(rows))
+
+    def step(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> None:
+        t, r, c, g, w = self.types, *(self.now[k] for k in "rcgw")
+        told = lambda score, share, k: 1 / (1 + np.exp(np.log(k * share).astype(np.float32) - score))
+        v1, v2 = r[one], r[two]
+        h = np.hstack([v1 * c[0] + v2 * c[1], np.ones((len(token), 1), np.float32)])
+        group, member = token % t.groups, token // t.groups
+        noise = np.searchsorted(np.cumsum(t.group_share)[:-1], self.random.random(GROUP_NOISE))
+        data = told(np.einsum("ij,ij->i", h, g[group]), t.group_share[group], GROUP_NOISE)[:, None] - 1
+        other = told(h @ g[noise].T, t.group_share[noise], GROUP_NOISE)
+        back = data * g[group] + other @ g[noise]
+        rows, slope = np.concatenate([group, noise]), np.concatenate([data * h, other.T @ h])
+        place = group[:, None] * t.members + np.column_stack([member, self.drawn[group[:, None], self.random.integers(0, 1024, (len(token), WORD_NOISE))]])
+        words = w[place]
+        hint = told(np.einsum("ij,ikj->ik", h, words), t.share.ravel()[place], WORD_NOISE)
+        hint[:, 0] -= 1
+        back += np.einsum("ik,ikj->ij", hint, words)
+        self.change("g", rows, slope)
+        self.change("w", place.ravel(), (hint[:, :, None] * h[:, None, :]).reshape(-1, SIZE + 1))
+        back = back[:, :SIZE]
+        self.change("r", np.concatenate([one, two]), np.concatenate([back * c[0], back * c[1]]))
+        self.change("c", np.arange(2), np.stack([(back * v1).sum(axis=0), (back * v2).sum(axis=0)]))
+        self.met["c"] += len(token) - 1
+
+    def learn(self, tokens: np.ndarray, starts: np.ndarray) -> None:
+        one, two = self.types.before(tokens, starts)
+        order = self.random.permutation(len(tokens))
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            self.step(two[some], one[some], tokens[some])
+
+
+#: Places of the parameters in one numbering of rows.
+def _offsets(types: Types) -> dict[str, int]:
+    sizes = {"r": types.start + 1, "c": 2, "g": types.groups, "w": types.groups * types.members}
+    return dict(zip(sizes, np.cumsum([0, *sizes.values()])[:-1].tolist()))
 
-def train(cells: np.ndarray, counts: np.ndarray, *, size: int = 24, noise: int = 8, steps: int = 240, rate: float = 0.05, seed: int = 1) -> np.ndarray:
-    """Normalised log10 probabilities (COARSE, TYPES, TYPES) from triple counts.
 
-    Noise-contrastive estimation: a triple is told from noise samples, noise
-    for each, drawn from the smoothed frequencies of types. Adam over the full
-    objective; without counts the result is uniform.
-    """
-    seen = np.bincount(cells, counts, COARSE * TYPES * TYPES).reshape(COARSE * TYPES, TYPES)
-    total = max(seen.sum(), 1.0)
-    unigram = (seen.sum(axis=0) + 0.5) / (seen.sum() + 0.5 * TYPES)
-    offset = np.log(noise * unigram)
-    weight, of_context = seen / total, seen.sum(axis=1, keepdims=True) / total * noise * unigram
-    random = np.random.default_rng(seed)
-    parts = {"a": random.normal(0, 0.1, (TYPES, size)), "b": random.normal(0, 0.1, (COARSE, size)), "q": random.normal(0, 0.1, (TYPES, size)), "bias": np.log(unigram)}
-    first, second = ({k: np.zeros_like(v) for k, v in parts.items()} for _ in range(2))
-    for step in range(1, steps + 1 if seen.any() else 1):
-        hidden = (parts["b"][:, None, :] + parts["a"][None, :, :]).reshape(-1, size)
-        told = 1 / (1 + np.exp(offset - hidden @ parts["q"].T - parts["bias"]))
-        slope = weight * (1 - told) - of_context * told
-        back = (slope @ parts["q"]).reshape(COARSE, TYPES, size)
-        grads = {"a": back.sum(axis=0), "b": back.sum(axis=1), "q": slope.T @ hidden, "bias": slope.sum(axis=0)}
-        for k, g in grads.items():
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.001 * (g * g - second[k])
-            parts[k] += rate * (1 - step / (steps + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-10)
-    hidden = (parts["b"][:, None, :] + parts["a"][None, :, :]).reshape(-1, size)
-    logits = hidden @ parts["q"].T + parts["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    return ((logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.log(10)).reshape(COARSE, TYPES, TYPES).astype(np.float32)
+class Model:
+    """Normalised log-probabilities of tokens."""
+
+    def __init__(self, types: Types, params: dict[str, np.ndarray]):
+        self.types, self.params = types, params
+
+    def log10p(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> np.ndarray:
+        t, (r, c, g, w) = self.types, (self.params[k] for k in "rcgw")
+        w = w.reshape(t.groups, t.members, SIZE + 1)
+        out = np.empty(len(token), np.float32)
+        group, member = token % t.groups, token // t.groups
+        order = np.argsort(group, kind="stable")
+        for at in range(0, len(order), 8192):
+            some = order[at : at + 8192]
+            h = np.hstack([r[one[some]] * c[0] + r[two[some]] * c[1], np.ones((len(some), 1), np.float32)])
+            mine = group[some]
+            out[some] = self._of(h, g, mine)
+            cuts = np.flatnonzero(np.diff(mine, prepend=-1))
+            for low, high in zip(cuts, [*cuts[1:], len(some)]):
+                out[some[low:high]] += self._of(h[low:high], w[mine[low]], member[some[low:high]])
+        return out / np.float32(np.log(10))
+
+    @staticmethod
+    def _of(h: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of the softmax over rows at each target."""
+        score = h @ rows.T
+        score -= score.max(axis=1, keepdims=True)
+        own = score[np.arange(len(target)), target]
+        return own - np.log(np.exp(score, out=score).sum(axis=1))
 
 
 def _tokens(part, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
@@ -146,70 +239,121 @@ def held_out(doc_id: Column, of: int = 7, one: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == one, F.lit(False))
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score all texts by a model learnt from those that held_out leaves.
+@dataclass
+class Learnt:
+    """What the training texts give: the model, the frequent words, and all counts."""
+
+    model: Model
+    codes: np.ndarray  # of the frequent words, sorted
+    counts: np.ndarray
+    of_class: np.ndarray  # log10 of what shares of words beyond the types are divided by, by ending
+    tokens: int
+    distinct: int
+    rest: DataFrame  # (code, n) of all other words
 
-    Returns (id_col, held_out, n_tokens, n_known, train_tokens, base_score,
-    score), a row per input row. Tokens are a text's words, A-Z lower-cased,
-    and one end. base_score is the add-one unigram log10 probability, score
-    the model's. Null and empty texts are an end alone. Repeated rows are all
-    learnt from and scored; null ids are for training; without training texts
-    counts are zero and the model is uniform over its types; an empty table
-    gives no rows; other columns are not read.
-    """
-    require(docs, id_col, text_col)
-    spark = docs.sparkSession
-    key = docs.select(id_col).dtypes[0][1]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("out"))
-    training = rows.filter("not out").select("text")
 
-    counts = materialise(training.mapInArrow(_count_words, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "words")
+def learn(texts: DataFrame, *, words: int = WORDS, head: int = HEAD) -> Learnt:
+    """Count the words of texts (one column) and train the model on them.
+
+    All texts are learnt from; each partition from the same start, so the
+    result depends a little on the partitions. words and head bound the memory
+    of a worker, not what is read.
+    """
+    spark = texts.sparkSession
+    counts = materialise(texts.mapInArrow(_count_words, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "words")
     level = F.floor(F.log2("n") * 16)
-    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
-    n_all, v_all = sum(r.n for r in levels), sum(r.words for r in levels)
-    least, held = 1 << 62, 0
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+    # Whole levels of frequency, and of the level that doesn't fit a share by hash.
+    frequent, held = F.lit(False), 0
     for r in levels:
+        share = min(1.0, 0.98 * max(0, head - held - 1000) / r.words) if held + r.words > head else 1.0
+        frequent |= (level == r.level) & (F.shiftrightunsigned("code", 48) < int(share * 65536))
         held += r.words
-        if held > HEAD:
+        if share < 1:
             break
-        least = r.least
-    head = counts.filter(F.col("n") >= least).toArrow().sort_by("code")
-    head_codes, head_n = head.column("code").to_numpy(), head.column("n").to_numpy()
-    order = [i for i in np.lexsort((head_codes, -head_n)) if head_codes[i] != np.int64(np.uint64(END_CODE))][:WORDS]
-    top = np.array(sorted((head_codes[i], t) for t, i in enumerate(order)), np.int64).reshape(-1, 2)
-    top = np.concatenate([top, [[np.int64(np.uint64(END_CODE)), END]]])
-    top = top[np.argsort(top[:, 0])]
-    model = Model(top[:, 0], top[:, 1], np.empty(0))
-
-    shared = spark.sparkContext.broadcast(model)
-
-    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = WordCodes(), np.zeros(COARSE * TYPES * TYPES, np.int64)
+    frequent |= F.col("code") == int(np.uint64(END_CODE).astype(np.int64))
+    table = counts.filter(frequent).toArrow().sort_by("code")
+    codes, n = table.column("code").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+    end = np.uint64(END_CODE).astype(np.int64)
+    order = np.lexsort((codes, -n))
+    order = order[codes[order] != end][:words]
+
+    # Words of each ending that are no types, and their tokens.
+    rare = np.zeros((ENDINGS, 2), np.int64)
+    for r in counts.groupBy(F.col("code").bitwiseAND(ENDINGS - 1).alias("e")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect():
+        rare[r.e] = r.v, r.n
+    ends = n[codes == end].sum()
+    gone = np.append(codes[order], end if ends else np.empty(0, np.int64))
+    np.subtract.at(rare, gone & (ENDINGS - 1), np.column_stack([np.ones(len(gone), np.int64), np.append(n[order], ends if ends else np.empty(0, np.int64))]))
+
+    # Types in the order of words, endings, the end; then renumbered by frequency.
+    of_type = np.concatenate([n[order], rare[:, 1], [ends]])
+    place = np.empty(len(of_type), np.int64)
+    place[np.argsort(-of_type, kind="stable")] = np.arange(len(of_type))
+    known = np.append(codes[order], end)
+    by_code = np.argsort(known)
+    types = Types(known[by_code], np.append(place[: len(order)], place[-1])[by_code], place[len(order) : -1], np.sort(of_type)[::-1].copy())
+
+    shared = spark.sparkContext.broadcast(types)
+    names = [f"x{i}" for i in range(SIZE + 1)]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, word_codes, trainer = shared.value, WordCodes(), None
         for batch in batches:
             for part in slices(batch):
                 if part.num_rows:
-                    tokens, starts = _tokens(part.column(0), codes)
-                    seen += np.bincount(contexts(shared.value.types_of(tokens), starts), minlength=len(seen))
-        cells = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(seen[cells])], names=["cell", "n"])
-
-    triples = training.mapInArrow(count_triples, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    model.log10p = train(triples.column("cell").to_numpy(), triples.column("n").to_numpy().astype(np.float64)).ravel()
+                    trainer = trainer or Trainer(types, TaskContext.get().partitionId())
+                    tokens, starts = _tokens(part.column(0), word_codes)
+                    trainer.learn(types.of(tokens), starts)
+        if trainer is None:
+            return
+        before, offsets = unlearnt(types), _offsets(types)
+        for k, v in trainer.now.items():
+            met = trainer.met[k]
+            rows = np.flatnonzero(met)
+            for at in range(0, len(rows), 8192):
+                some = rows[at : at + 8192]
+                moved = np.zeros((len(some), SIZE + 1))
+                moved[:, : v.shape[1]] = (v[some] - before[k][some]) * met[some, None]
+                yield pa.RecordBatch.from_arrays([pa.array(some + offsets[k]), pa.array(met[some]), *(pa.array(moved[:, i]) for i in range(SIZE + 1))], names=["row", "met", *names])
+
+    moved = texts.mapInArrow(train, "row long, met long, " + ", ".join(f"{x} double" for x in names)).groupBy("row").agg(F.sum("met").alias("met"), *(F.sum(x).alias(x) for x in names))
+    found = moved.select("row", *((F.col(x) / F.col("met")).cast("float").alias(x) for x in names)).toArrow()
+    params, rows = unlearnt(types), found.column("row").to_numpy()
+    mean = np.column_stack([found.column(x).to_numpy() for x in names]).astype(np.float32) if len(rows) else np.empty((0, SIZE + 1), np.float32)
+    for k, low in _offsets(types).items():
+        mine = (rows >= low) & (rows < low + len(params[k]))
+        params[k][rows[mine] - low] += mean[mine, : params[k].shape[1]]
+    return Learnt(Model(types, params), codes, n, np.log10(rare.sum(axis=1) + 1.0), sum(r.n for r in levels), sum(r.words for r in levels), counts.filter(~frequent))
+
+
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, head: int = HEAD, learnt: Learnt | None = None) -> DataFrame:
+    """Score all texts by a model learnt from those that held_out leaves, or by a given one.
 
-    # Words of each ending that are no types, and their tokens.
-    endings = counts.groupBy(F.col("code").bitwiseAND(ENDINGS - 1).alias("e")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
-    rare = np.zeros((ENDINGS, 2))
-    for r in endings:
-        rare[r.e] = r.v, r.n
-    for c in top[:, 0]:
-        at = np.searchsorted(head_codes, c)
-        if at < len(head_codes) and head_codes[at] == c:
-            rare[c & (ENDINGS - 1)] -= 1, head_n[at]
-    of_class = np.log10(rare.sum(axis=1) + 1)
-    table = spark.sparkContext.broadcast((model, head_codes, np.log10(head_n + 1.0), of_class, np.log10(n_all + v_all + 1)))
+    Returns (id_col, held_out, n_tokens, n_known, train_tokens, base_score,
+    score), a row per input row. Tokens are a text's words, A-Z lower-cased,
+    and one end. base_score is the add-one unigram log10 probability, score
+    the model's; a word beyond the types has its class's probability times its
+    add-one share of the class, in which unknown words together count once.
+    Null and empty texts are an end alone; very long texts are read whole.
+    Repeated rows are all learnt from and scored; null ids are for training;
+    without training texts counts are zero and the model is uniform over
+    groups and their members; an empty table gives no rows; other columns are
+    not read. words and head bound the memory of a worker.
+    """
+    require(docs, id_col, text_col)
+    spark = docs.sparkSession
+    key = docs.select(id_col).dtypes[0][1]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("out"))
+    learnt = learnt or learn(rows.filter("not out").select("text"), words=words, head=head)
+    log_all = np.log10(learnt.tokens + learnt.distinct + 1)
+    table = spark.sparkContext.broadcast((learnt.model, learnt.codes, np.log10(learnt.counts + 1.0), learnt.of_class))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head_codes, head_log, of_class, log_all = table.value
+        model, head_codes, head_log, of_class = table.value
+        types = model.types
+        classes = np.zeros(types.start, bool)
+        classes[types.of_ending] = True
         codes = WordCodes()
         for batch in batches:
             for part in slices(batch):
@@ -220,10 +364,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 at = np.minimum(np.searchsorted(head_codes, some), max(len(head_codes) - 1, 0))
                 known = head_codes[at] == some if len(head_codes) else np.zeros(len(some), bool)
                 logs = np.where(known, head_log[at], 0.0) if len(head_codes) else np.zeros(len(some))
-                kinds = model.types_of(some)
-                classed = (kinds >= WORDS) & (kinds < END)
-                share = np.where(classed, logs - of_class[some & (ENDINGS - 1)], 0.0)
-                each = model.log10p[contexts(kinds[back], starts)].astype(np.float64) + share[back]
+                kinds = types.of(some)
+                share = np.where(classes[kinds], logs - of_class[some & (ENDINGS - 1)], 0.0)
+                kinds = kinds[back]
+                one, two = types.before(kinds, starts)
+                each = model.log10p(two, one, kinds).astype(np.float64) + share[back]
                 add = lambda x: np.add.reduceat(x, starts)
                 lengths = np.diff(starts, append=len(tokens))
                 missing = ~known[back]
@@ -236,12 +381,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     scored = rows.select("id", "text", "out").mapInArrow(score, f"id {key}, out boolean, n_tokens long, known long, base double, score double, tail array<long>")
     scored = materialise(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
-    rest = scored.select("row", F.explode("tail").alias("code")).join(counts.filter(F.col("n") < least), "code")
+    rest = scored.select("row", F.explode("tail").alias("code")).join(learnt.rest, "code")
     rest = rest.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("log"))
     both = scored.join(rest, "row", "left")
     log, more = F.coalesce("log", F.lit(0.0)), F.coalesce("more", F.lit(0))
     return both.select(
-        F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score")
+        F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(learnt.tokens).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score")
     )
 
 
