@@ -203,7 +203,7 @@ def test_quality(spark, docs, rows):
         assert not (r.kept and r.base_failed)
     assert assess_quality(docs.limit(0)).count() == 0
     edges = spark.range(5000).select("id", bucket(F.col("id")).alias("b")).select("id", bucket_top(F.col("b")).alias("top"))
-    assert edges.filter("top < id or top > id + id / 32").count() == 0
+    assert edges.filter("top < id or top > id + id / 16").count() == 0
 
 
 def test_quality_adapts_to_groups(spark):
@@ -214,6 +214,33 @@ def test_quality_adapts_to_groups(spark):
     assert not kept[999] and all(v for k, v in kept.items() if k != 999)
 
 
+def test_quality_thresholds_come_from_their_group(spark):
+    from tuplewise.llm.oracle import SQL
+    from tuplewise.llm.quality import METRICS, SIZES, op5_quality_rules, thresholds
+
+    from ..compare import DATA, duck, rows_of
+
+    columns = [*METRICS, *SIZES]
+    rnd = random.Random(2)
+    group = lambda name, scale: [("en", name, *(rnd.randrange(scale) for _ in METRICS), rnd.randrange(500, 900), rnd.randrange(5, 9), rnd.randrange(90, 160)) for _ in range(90)]
+    schema = "lang string, source string, " + ", ".join(f"{c} long" for c in columns)
+    of = lambda rows: {r.t_source: r for r in thresholds(spark.createDataFrame(rows, schema)).collect()}
+    a, b = group("a", 200_000), group("b", 200_000)
+    before, after = of(a + b), of([(x[0], x[1], *(9 * v for v in x[2:6]), *x[6:]) for x in a] + b)
+    for m in METRICS:
+        assert after["a"][f"t_{m}"] > 2 * before["a"][f"t_{m}"] > 0 and after["b"][f"t_{m}"] == before["b"][f"t_{m}"]
+    # On the fixtures no metric has one threshold for all groups.
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    full = assess_quality(docs).filter("not base_failed").selectExpr("lang", "source", "n_symbols * 1000000 div word_chars symbols", "n_words", "word_chars")
+    full = full.selectExpr("lang", "source", "symbols", "0L dup_lines", "0L repeat_words", "0L capitals", "word_chars", "1L n_lines", "n_words")
+    assert thresholds(full, least_rows=5).select("t_symbols").distinct().count() > 5
+    # Same verdicts as the SQL.
+    got = op5_quality_rules(spark, f"{DATA}/sf0.01")
+    want = duck("sf0.01").sql(SQL["op5_quality_rules"])
+    got = rows_of(got.columns, got.collect())
+    assert got == rows_of(want.columns, want.fetchall())
+
+
 def test_lm(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     got = score_texts(table).collect()

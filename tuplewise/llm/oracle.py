@@ -6,7 +6,7 @@ Operators 1, 6, 7, 9 (tokenisers, a trained model, dynamic programming) and 3
 
 from __future__ import annotations
 
-from .quality import METRICS, SLACK
+from .quality import EXTRA, METRICS, SIZES, SPREAD
 from .url_rules import HOST_RULES, PATTERN_RULES, Rule
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,12 +29,13 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(lost, 0)
 
 
 def _quality() -> str:
-    share = lambda a, b: f"({a} * 10000) // greatest({b}, 1)"
-    wide = {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeat_words": share("n_repeat_words", "n_words"), "capitals": share("n_capitals", "word_chars")}
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM s" for m in METRICS)
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {SLACK[m]}" for m in METRICS) + " END"
-    pick = lambda m: f"max(t) FILTER (WHERE metric = '{m}') AS t_{m}"
-    within = " AND ".join(f"{m} <= CASE WHEN o.rows >= 50 THEN o.t_{m} WHEN l.rows >= 50 THEN l.t_{m} ELSE e.t_{m} END" for m in METRICS)
+    share = lambda m, less: f"(greatest({METRICS[m][0]} - {less}, 0) * 1000000) // greatest({METRICS[m][1]}, 1)"
+    long = " UNION ALL ".join([f"SELECT lang, source, '{m}' AS metric, {share(m, 0)} AS v FROM s WHERE NOT base_failed" for m in METRICS] + [f"SELECT lang, source, '{m}', {m} FROM s WHERE NOT base_failed" for m in SIZES])
+    high = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x[3]}" for m, x in METRICS.items()) + " ELSE 50 END"
+    of = lambda value, m: f"max({value}) FILTER (WHERE metric = '{m}')"
+    limit = lambda m: f"{of('q2', m)} + {SPREAD} * ({of('q3', m)} - {of('q2', m)}) + {EXTRA} * ({METRICS[m][2] * 1000000} // greatest({of('q2', METRICS[m][1])}, 1)) AS t_{m}"
+    within = " AND ".join(f"{share(m, x[2])} <= CASE WHEN o.rows >= 50 THEN o.t_{m} WHEN l.rows >= 50 THEN l.t_{m} ELSE e.t_{m} END" for m, x in METRICS.items())
+    top = lambda b: f"CASE WHEN {b} < 32 THEN {b} ELSE (({b} - 16 * (({b} - 16) // 16)) + 1) * (1 << (({b} - 16) // 16)) - 1 END"
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w,
 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 i AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, w FROM d),
@@ -45,17 +46,17 @@ g AS (SELECT r, count(*) FILTER (WHERE rep) AS n FROM f GROUP BY r),
 m AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
 CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals FROM d LEFT JOIN g USING (r)),
-s AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in wide.items())} FROM m),
+s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 long AS ({long}),
-b AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> CAST(length(bin(v)) - 6 AS INT)) END AS b FROM long),
+b AS (SELECT *, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> CAST(length(bin(v)) - 5 AS INT)) END AS b FROM long),
 lv AS (SELECT 0 AS level, lang AS a, source AS c, metric, b FROM b UNION ALL SELECT 1, lang, NULL, metric, b FROM b UNION ALL SELECT 2, NULL, NULL, metric, b FROM b),
 h AS (SELECT level, a, c, metric, b, count(*) AS n FROM lv GROUP BY ALL),
 q AS (SELECT *, sum(n) OVER (PARTITION BY level, a, c, metric) AS rows, sum(n) OVER (PARTITION BY level, a, c, metric ORDER BY b) AS upto FROM h),
-x AS (SELECT level, a, c, metric, max(rows) AS rows, min(b) FILTER (WHERE upto * 4 >= rows * 2) AS b2, min(b) FILTER (WHERE upto * 4 >= rows * 3) AS b3 FROM q GROUP BY ALL),
-y AS (SELECT *, CASE WHEN b2 < 64 THEN b2 ELSE ((b2 - 32 * ((b2 - 32) // 32)) + 1) * (1 << ((b2 - 32) // 32)) - 1 END AS q2, CASE WHEN b3 < 64 THEN b3 ELSE ((b3 - 32 * ((b3 - 32) // 32)) + 1) * (1 << ((b3 - 32) // 32)) - 1 END AS q3 FROM x),
-t AS (SELECT level, a, c, max(rows) AS rows, {", ".join(map(pick, METRICS))} FROM (SELECT *, q2 + 6 * (q3 - q2) + {slack} AS t FROM y) GROUP BY level, a, c),
-z AS (SELECT s.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {within} AS good FROM s
-JOIN t o ON o.level = 0 AND o.a IS NOT DISTINCT FROM lang AND o.c IS NOT DISTINCT FROM source JOIN t l ON l.level = 1 AND l.a IS NOT DISTINCT FROM lang JOIN t e ON e.level = 2)
+x AS (SELECT level, a, c, metric, max(rows) AS rows, min(b) FILTER (WHERE upto * 100 >= rows * 50) AS b2, min(b) FILTER (WHERE upto * 100 >= rows * {high}) AS b3 FROM q GROUP BY ALL),
+y AS (SELECT *, {top("b2")} AS q2, {top("b3")} AS q3 FROM x),
+t AS (SELECT level, a, c, max(rows) AS rows, {", ".join(map(limit, METRICS))} FROM y GROUP BY level, a, c),
+z AS (SELECT s.*, coalesce({within}, true) AS good FROM s
+LEFT JOIN t o ON o.level = 0 AND o.a IS NOT DISTINCT FROM lang AND o.c IS NOT DISTINCT FROM source LEFT JOIN t l ON l.level = 1 AND l.a IS NOT DISTINCT FROM lang LEFT JOIN t e ON e.level = 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM z"""
 
 

@@ -1,12 +1,13 @@
 """Operator 5: quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Every text gives counts and four shares (in ten-thousandths). A sketch of each
-share per language and source is a histogram over buckets whose width grows
-with the value (at most 1/32 of it): integers only, so sketches merge by
-adding counts, in any order, to the same result. Median and upper quartile of
-a group give its threshold; small groups use the merged sketch of their
-language, then of all rows. Documents then join their group's thresholds.
-Everything is native DataFrame work.
+Every text gives counts, the sizes they belong to, and four shares (in
+millionths). A sketch of each share and size per language and source is a
+histogram over buckets whose width grows with the value (at most 1/16 of it):
+integers only, so sketches merge by adding counts, in any order, to the same
+result. Quantiles of a group's texts that pass the base rules give its
+thresholds, and nothing else does: no threshold has a fixed part. Small groups
+use the merged sketch of their language, then of all rows. Documents then join
+their group's thresholds. Everything is native DataFrame work.
 """
 
 from __future__ import annotations
@@ -18,10 +19,18 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, materialise, require
 
-#: Shares that have thresholds.
-METRICS = ("symbols", "dup_lines", "repeat_words", "capitals")
-#: Least distance of a threshold from the median.
-SLACK = {"symbols": 300, "dup_lines": 3000, "repeat_words": 1500, "capitals": 1500}
+#: Shares that have thresholds: the count, the size it is a share of, how much of it is one
+#: occurrence (two windows of five words for a repeat), and the percentile that shows the spread.
+#: Junk that fills a tenth of a group moves the 95th percentile of its shares, so symbols use a lower one.
+METRICS = {
+    "symbols": ("n_symbols", "word_chars", 1, 75),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, 95),
+    "repeat_words": ("n_repeat_words", "n_words", 10, 95),
+    "capitals": ("n_capitals", "word_chars", 1, 95),
+}
+SIZES = ("word_chars", "n_lines", "n_words")
+#: How far above the median a share may lie: in spreads, and in occurrences.
+SPREAD, EXTRA = 6, 2
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Thresholds of at most this many groups are broadcast (under 10 MB); more are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
@@ -73,29 +82,30 @@ def text_counts(text: Column, width: int = 5) -> Column:
     return F.struct(words.alias("w"), lines.alias("l"), marks.alias("m"))
 
 
-def bucket(share: Column) -> Column:
-    """Sketch bucket of a share: the value itself under 64, then 32 buckets for each power of two."""
-    k = F.length(F.bin(share)) - 6
-    return F.when(share < 64, share).otherwise(k * 32 + F.floor(share / F.pow(F.lit(2), k))).cast("int")
+def bucket(value: Column) -> Column:
+    """Sketch bucket of a value: itself under 32, then 16 buckets for each power of two."""
+    k = F.length(F.bin(value)) - 5
+    return F.when(value < 32, value).otherwise(k * 16 + F.floor(value / F.pow(F.lit(2), k))).cast("int")
 
 
 def bucket_top(b: Column) -> Column:
-    """Largest share that falls into bucket b."""
-    k = F.floor((b - 32) / 32)
-    return F.when(b < 64, b).otherwise(((b - 32 * k) + 1) * F.pow(F.lit(2), k) - 1).cast("long")
+    """Largest value that falls into bucket b."""
+    k = F.floor((b - 16) / 16)
+    return F.when(b < 32, b).otherwise(((b - 16 * k) + 1) * F.pow(F.lit(2), k) - 1).cast("long")
 
 
-def thresholds(shares: DataFrame, *, spread: int = 6, slack: dict[str, int] = SLACK, least_rows: int = 50) -> DataFrame:
+def thresholds(shares: DataFrame, *, spread: int = SPREAD, least_rows: int = 50) -> DataFrame:
     """Per (lang, source) an upper threshold of each metric, named t_<metric>.
 
-    shares has lang, source and the METRICS columns. A threshold is median +
-    spread * (upper quartile - median) + the metric's slack, in
-    ten-thousandths; slack is what a short clean text may have by chance (one
-    repeated line, a licence's capitals) and keeps groups without any spread
-    from rejecting it. Groups of fewer than least_rows rows take the threshold of their language, and that
+    shares has lang, source, the METRICS and the SIZES columns. A threshold is
+    median + spread * (upper percentile - median) + EXTRA * one, in millionths,
+    where one is the share that one occurrence has in a text of the group's
+    median size: it counts where most shares are zero. Groups of
+    fewer than least_rows rows take the thresholds of their language, and those
     of all rows if the language too has fewer.
     """
-    long = shares.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS))).alias("x"))
+    names = [*METRICS, *SIZES]
+    long = shares.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in names))).alias("x"))
     sketch = long.groupBy("lang", "source", "x.metric", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(None).cast("string")
     level_of = lambda k, a, b: F.struct(F.lit(k).alias("level"), a.alias("a"), b.alias("b"))
@@ -103,11 +113,16 @@ def thresholds(shares: DataFrame, *, spread: int = 6, slack: dict[str, int] = SL
     merged = levels.groupBy("g", "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("g", "metric")
     ranked = merged.select("*", F.sum("n").over(group).alias("rows"), F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    at = lambda quarters: bucket_top(F.min(F.when(F.col("upto") * 4 >= F.col("rows") * quarters, F.col("bucket"))))
-    limit = ranked.groupBy("g", "metric").agg(F.first("rows").alias("rows"), at(2).alias("q2"), at(3).alias("q3"))
-    least = F.coalesce(*(F.when(F.col("metric") == m, F.lit(slack[m])) for m in METRICS))
-    limit = limit.select("g", "rows", "metric", (F.col("q2") + spread * (F.col("q3") - F.col("q2")) + least).alias("t"))
-    wide = limit.groupBy("g").agg(F.first("rows").alias("rows"), *(F.max(F.when(F.col("metric") == m, F.col("t"))).alias(f"t_{m}") for m in METRICS))
+    at = lambda percent: bucket_top(F.min(F.when(F.col("upto") * 100 >= F.col("rows") * percent, F.col("bucket"))))
+    high = F.coalesce(*(F.when(F.col("metric") == m, F.lit(x[3])) for m, x in METRICS.items()), F.lit(50))
+    limit = ranked.groupBy("g", "metric").agg(F.first("rows").alias("rows"), at(50).alias("mid"), at(high).alias("high"))
+    of = lambda value, m: F.max(F.when(F.col("metric") == m, F.col(value)))
+
+    def threshold(m: str) -> Column:
+        _, size, unit, _ = METRICS[m]
+        return of("mid", m) + spread * (of("high", m) - of("mid", m)) + EXTRA * F.floor(F.lit(unit * 1_000_000) / F.greatest(of("mid", size), F.lit(1)))
+
+    wide = limit.groupBy("g").agg(F.first("rows").alias("rows"), *(threshold(m).alias(f"t_{m}") for m in METRICS))
     names = [f"t_{m}" for m in METRICS]
 
     def level(k: int, *keys: str) -> DataFrame:
@@ -119,14 +134,15 @@ def thresholds(shares: DataFrame, *, spread: int = 6, slack: dict[str, int] = SL
     return both.select(F.col("a0").alias("t_lang"), F.col("b0").alias("t_source"), *(chosen(n).alias(n) for n in names))
 
 
-def assess_quality(docs: DataFrame, *, min_words: int = 10, max_repeat_percent: int = 20, spread: int = 6, slack: dict[str, int] = SLACK, least_rows: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def assess_quality(docs: DataFrame, *, min_words: int = 10, max_repeat_percent: int = 20, spread: int = SPREAD, least_rows: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Add COUNTS, base_failed and kept to docs; other columns of these names are replaced.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent
-    of them in repeated 5-word windows. kept: not base_failed, and no share
-    above its group's threshold. A null text counts as empty and fails; null
-    languages and sources are groups like others; repeated rows all count; an
-    empty table gives no rows. One pass computes the counts and writes them
+    of them in repeated 5-word windows. kept: not base_failed, and no share,
+    less one occurrence, above its group's threshold, which comes from the
+    group's texts that pass the base. A null text counts as empty and fails;
+    null languages and sources are groups like others; very long texts are
+    read whole; repeated rows all count; an empty table gives no rows. One pass computes the counts and writes them
     with the rows to the shared folder; sketches shuffle as partial counts,
     so a source that holds most rows costs no more than another.
     """
@@ -138,26 +154,19 @@ def assess_quality(docs: DataFrame, *, min_words: int = 10, max_repeat_percent:
     of = lambda c: names[keep.index(c)]
     step = plain.select("*", text_counts(F.col(of(text_col)).cast("string")).alias("x"))
     counted = step.select(*names, *(F.col(f"x.{p}.{c}") for p, c in (("w", "n_words"), ("w", "word_chars"), ("m", "n_symbols"), ("l", "n_dup_lines"), ("w", "n_repeat_words"), ("l", "n_lines"), ("m", "n_capitals"))))
-    share = lambda part, whole: F.expr(f"{part} * 10000 div greatest({whole}, 1)")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    share = lambda part, whole, less: F.expr(f"greatest({part} - {less}, 0) * 1000000 div greatest({whole}, 1)")
     counted = materialise(counted, "quality")
-    full = counted.select(
-        "*",
-        F.col(of(lang_col)).cast("string").alias("lang"),
-        F.col(of(source_col)).cast("string").alias("source"),
-        share("n_symbols", "word_chars").alias("symbols"),
-        share("n_dup_lines", "n_lines").alias("dup_lines"),
-        share("n_repeat_words", "n_words").alias("repeat_words"),
-        share("n_capitals", "word_chars").alias("capitals"),
-    )
-    limits = materialise(thresholds(full.select("lang", "source", *METRICS), spread=spread, slack=slack, least_rows=least_rows), "thresholds")
+    full = counted.select("*", F.col(of(lang_col)).cast("string").alias("lang"), F.col(of(source_col)).cast("string").alias("source"), failed.alias("base_failed"))
+    passed = full.filter("not base_failed").select("lang", "source", *(share(a, b, 0).alias(m) for m, (a, b, _, _) in METRICS.items()), *SIZES)
+    limits = materialise(thresholds(passed, spread=spread, least_rows=least_rows), "thresholds")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     joined = full.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     within = F.lit(True)
-    for m in METRICS:
-        within &= F.col(m) <= F.col(f"t_{m}")
-    return joined.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), *COUNTS, failed.alias("base_failed"), (~failed & within).alias("kept"))
+    for m, (a, b, one, _) in METRICS.items():
+        within &= share(a, b, one) <= F.col(f"t_{m}")
+    return joined.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
