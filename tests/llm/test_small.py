@@ -513,6 +513,25 @@ def test_repeats_of_wide_windows(spark):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute_repeats(rows, 600)
 
 
+def test_factors_are_matches(spark):
+    """Each factor's words stand at its source, and no factor could start earlier or be shorter than a window."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    one, two, three = text(120), text(90), text(60)
+    rows = [(1, f"{text(30)} {one} {text(10)}"), (2, f"{one} {text(40)} {two}"), (3, f"{text(5)} {two} {one} {three}"), (4, f"{three} {text(3)} {three}"), (5, text(200)), (6, two), (6, two)]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), carry=True).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_repeats(rows)
+    by_tag = {r.tag: r.text.split() for r in got}
+    assert len(by_tag) == 6
+    factors = {r.doc_id: r.factors for r in got}
+    assert len(factors[1]) == 1 and len(factors[2]) == 2 and len(factors[3]) == 3 and len(factors[4]) == 2 and factors[5] == []
+    for r in got:
+        for f in r.factors:
+            n = f.end - f.start
+            assert n >= 35 and r.text.split()[f.start : f.end] == by_tag[f.source][f.source_start : f.source_start + n]
+            assert (f.source, f.source_start) != (r.tag, f.start) or r.doc_id == 6
+
+
 def test_packing_knows_added_tokens(spark, tmp_path):
     from tuplewise.llm.packing import op1_best_fit_packing
 

@@ -12,6 +12,7 @@ from typing import ClassVar
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only on a local master whose session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/tuplewise"
@@ -86,6 +87,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def loose(df: DataFrame, key: str) -> DataFrame:
+    """df with its partitioning by an integer key forgotten.
+
+    An aggregate by the key is dealt by it already; a join would then shuffle
+    the other side alone, and adaptive execution can't split a hot key.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def _at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, mix, require, shingle_hashes, slices
+from .common import WordHashes, loose, materialise, mix, require, shingle_hashes, slices
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -203,15 +203,6 @@ def _across(rows: DataFrame, least: float, best: bool) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _loose(df: DataFrame, key: str) -> DataFrame:
-    """df with its partitioning by an integer key forgotten.
-
-    An aggregate by the key is dealt by it already; a join would then shuffle
-    the other side alone, and adaptive execution can't split a hot key.
-    """
-    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges (a, b); component is its smallest node.
 
@@ -225,9 +216,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(u, F.min("v")).alias("m"))
-        large = both.filter(v > u).join(_loose(least, "u"), "u").select(v.alias("u"), m.alias("v")).distinct()
+        large = both.filter(v > u).join(loose(least, "u"), "u").select(v.alias("u"), m.alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(_loose(least, "u"), "u").filter(v != m).select(v.alias("u"), m.alias("v"))
+        small = large.join(loose(least, "u"), "u").filter(v != m).select(v.alias("u"), m.alias("v"))
         now = materialise(small.unionByName(least.select("u", m.alias("v"))).distinct(), "stars")
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state.n:
@@ -269,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, miss:
 
     rows = _bucket_rows(reps)
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = materialise(rows.join(_loose(buckets, "key"), "key"), "buckets")
+    shared = materialise(rows.join(loose(buckets, "key"), "key"), "buckets")
     texts = materialise(texts.join(shared.select("id").distinct(), "id", "left_semi"), "candidates")
 
     pairs = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -279,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, miss:
     for best, cut in ((True, percent / 100 - (percent / 100 - least) / 4), (False, least)):
         placed = shared.join(now, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        apart = placed.join(_loose(mixed, "key"), "key", "left_semi").join(reps.select("id", "sig"), "id")
+        apart = placed.join(loose(mixed, "key"), "key", "left_semi").join(reps.select("id", "sig"), "id")
         links = _confirmed(_across(apart, cut, best).distinct(), texts, percent, width)
         ends = links.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left")
         more = materialise(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
