@@ -104,18 +104,45 @@ def test_plan_is_tight():
 
 
 def test_top_k(spark):
+    from tuplewise.llm.top_k import NONE
+
     rng = np.random.default_rng(3)
     for size in (9, 2**25, 2**29):
         r, q = rng.integers(-size, size, (300, 6)), rng.integers(-size, size, (7, 6))
         r[100:250] = r[100]
-        ids = rng.permutation(900)[:300]
-        got = list(zip(*best_of_block(q, np.arange(7), r, ids, 4)))
-        want = [(i, ids[j], int(r[j] @ q[i])) for i in range(7) for j in [j for j in np.lexsort((ids, -(r @ q[i]))) if ids[j] != i][:4]]
-        assert got == want
+        ids, keys = rng.permutation(900)[:300], rng.permutation(300)
+        for least in (NONE, 0):
+            got = [(i, ids[j], s) for i, j, s in zip(*best_of_block(q, np.arange(7), np.full(7, least), r, keys, ids, 4))]
+            want = [(i, ids[j], int(r[j] @ q[i])) for i in range(7) for j in [j for j in np.lexsort((ids, -(r @ q[i]))) if keys[j] != i][:4]]
+            assert [x for x in got if x[2] >= least] == [x for x in want if x[2] >= least]
     nan, inf = float("nan"), float("inf")
     table = spark.createDataFrame([(0, [0.5, 0.25]), (1, [1.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (None, [1.0, 1.0]), (7, [1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_top_k(table, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 32768), (0, 2, 6, 32768)]
     assert exact_top_k(table.limit(0), F.col("vec_id") == 0).count() == 0
+    # Extra columns with names that are used inside, and rows that repeat an id: each is a query and a candidate.
+    twins = spark.createDataFrame([(0, [1.0, 0.0], 1, 2), (0, [0.0, 1.0], 1, 2), (1, [1.0, 1.0], 1, 2)], "vec_id long, embedding array<float>, row int, score int")
+    assert Counter(tuple(r) for r in exact_top_k(twins, F.col("vec_id") == 0).collect()) == Counter({(0, 1, 1, 65536): 2, (0, 2, 0, 0): 2})
+
+
+def test_top_k_stops_reading(spark, monkeypatch):
+    """Many blocks give the brute-force answer, and bounds leave few candidates."""
+    from tuplewise.llm import top_k
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([np.floor(256 * np.array(r.embedding, float)) for r in rows]).astype(np.int64)
+    read: list = []
+    some = np.flatnonzero(ids % 50 == 0)
+    best_of_block(x[some], some, np.full(len(some), top_k.NONE), x, np.arange(len(x)), ids, 5, read)
+    assert len(read) == len(some) and np.mean(read) < 0.85
+    monkeypatch.setattr(top_k, "CANDIDATES", 300)
+    monkeypatch.setattr(top_k, "QUERIES_", 16)
+    got = sorted(tuple(r) for r in exact_top_k(spark.createDataFrame(rows), F.col("vec_id") % 50 == 0).collect())
+    want = []
+    for i in some:
+        score = x @ x[i]
+        order = [j for j in np.lexsort((ids, -score)) if j != i][:5]
+        want += [(ids[i], k + 1, ids[j], score[j]) for k, j in enumerate(order)]
+    assert got == sorted(want)
 
 
 def test_secrets(docs, rows):

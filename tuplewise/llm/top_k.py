@@ -1,16 +1,18 @@
 """Operator 2: exact top-k search by no-random-access aggregation.
 
-Each dimension is a list of the candidates by value. For a query, lists of
-positive weights are read from the top, those of negative weights from the
-bottom. After a depth of reading, a candidate's score has a lower bound (seen
-values, and the worst of the list for the rest) and an upper bound (seen
-values, and the list's present value for the rest). Candidates whose upper
-bound is under the k-th lower bound are out; when few are left, or the lists
-are at their end, the scores of those left are resolved exactly.
-
-The bounds of a block of queries against a block of candidates are four matrix
-products. Queries are a stated set; they meet all rows in blocks of bounded
-size, and each block returns at most k rows a query.
+Each dimension is a list of the candidates by value. For a query, the lists
+that weigh most are read to their end and of each other list the good end: the
+top for a positive weight, the bottom for a negative one. A candidate's score
+then has an upper bound (what was read of it, and the value that each other
+list has come to) and a lower bound (what was read, and each other list's worst
+value). Candidates whose upper bound lies under the k-th lower bound can't
+qualify; the others' lists are read on, and where they end scores are exact.
+
+Queries are a stated set; they meet all rows in blocks of bounded size, and
+each block returns at most k rows a query. A first pass over one block for each
+query gives a k-th score, which is the least that counts in all other blocks,
+so there reading stops early. The bounds of a block of queries against a block
+of candidates are one matrix product.
 """
 
 from __future__ import annotations
@@ -22,19 +24,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import materialise, require
 
 #: Rows of a block of candidates and of queries, and queries bounded at a time.
-CANDIDATES, QUERIES_, AT_A_TIME = 4096, 1024, 128
-#: Shares of the lists read before bounds are compared.
-DEPTHS = (1 / 16, 1 / 4)
+CANDIDATES, QUERIES_, AT_A_TIME = 4096, 4096, 128
+#: Shares of the lists that are read to the end before bounds are compared, and of the others that is read.
+HEAVY, LIGHT = (3 / 4, 7 / 8), 1 / 4
+#: No least score is known.
+NONE = np.iinfo(np.int64).min
 
 
-def best_of_block(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of each query's k best rows but its own.
+def best_of_block(queries: np.ndarray, own: np.ndarray, least: np.ndarray, rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int, read: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the row, score) of each query's k best rows.
 
-    Best by score, then smaller id. Integers throughout: floats where every
-    partial sum is exact in them, else int64. OverflowError where int64 can't hold it.
+    own and keys tell a query's own row among the rows; only scores of at least
+    `least` count. Best by score, then smaller id. Integers throughout: floats
+    where every partial sum is exact in them, else int64. OverflowError where
+    int64 can't hold it. read gets the shares of list entries read.
     """
     none = np.empty(0, np.int64)
     if not len(queries) or not len(rows):
@@ -43,40 +49,49 @@ def best_of_block(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids:
     if largest >= 2**63:
         raise OverflowError("scores don't fit in 64 bits")
     kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
-    x, n = rows.astype(kind), len(rows)
-    order = np.argsort(-x, axis=0, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(x, order, axis=0)
+    x, (n, dims) = rows.astype(kind), rows.shape
+    lists = np.sort(x, axis=0)
+    low, high = lists[0], lists[-1]
+    depth = max(1, int(n * LIGHT))
+    down, up = lists[n - depth], lists[depth - 1]  # where the lists have come to, from the top and from the bottom
+    # For positive and negative weights: what an entry is at most, and at least in effect.
+    most = np.maximum(x, down), np.minimum(x, up)
+    least_of = np.where(x >= down, x, low), np.where(x <= up, x, high)
+    table, worst = np.hstack([x, *most]), np.hstack([x, *least_of])
     out = []
     for at in range(0, len(queries), AT_A_TIME):
-        q, mine = queries[at : at + AT_A_TIME].astype(kind), q_ids[at : at + AT_A_TIME]
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        own = mine[:, None] == ids[None, :]
-        alive = ~own
-        waiting = np.arange(len(q))
-        for share in DEPTHS:
-            depth = int(n * share)
-            if depth < 4 * k or not len(waiting):
-                continue
-            top, bottom = place < depth, place >= n - depth
-            bound = lambda a, b: up[waiting] @ np.where(top, x, a).T + down[waiting] @ np.where(bottom, x, b).T
-            upper = bound(lists[depth - 1], lists[n - depth])
-            worst = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-            lower = np.where(own[waiting], worst, bound(lists[-1], lists[0]))
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            alive[waiting] &= upper >= kth[:, None]
-            waiting = waiting[alive[waiting].sum(axis=1) > n // 8]
-        exact = q[waiting] @ x.T if len(waiting) else None
-        where = {w: i for i, w in enumerate(waiting.tolist())}
+        q, floor = queries[at : at + AT_A_TIME].astype(kind), least[at : at + AT_A_TIME].copy()
+        mine = own[at : at + AT_A_TIME, None] == keys[None, :]
+        order = np.argsort(-np.abs(q) * (high - low), axis=1, kind="stable")
+        heavy = np.zeros(q.shape, bool)
+        np.put_along_axis(heavy, order[:, : int(dims * HEAVY[0])], True, axis=1)
+        rest = np.where(heavy, 0, q)
+        weights = np.hstack([np.where(heavy, q, 0), np.maximum(rest, 0), np.minimum(rest, 0)])
+        upper = weights @ table.T
+        open_ = np.flatnonzero(floor == NONE)
+        if len(open_) and n > k:
+            lower = weights[open_] @ worst.T
+            lower[mine[open_]] = NONE
+            floor[open_] = np.partition(lower, n - k, axis=1)[:, n - k]
+        alive = (upper >= floor.astype(kind)[:, None]) & ~mine
+        done = int(dims * HEAVY[0]) + (dims - int(dims * HEAVY[0])) * depth / n
         for i in range(len(q)):
             left = np.flatnonzero(alive[i])
-            score = exact[where[i], left] if i in where else x[left] @ q[i]
-            if len(left) > k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                left, score = left[score >= least], score[score >= least]
+            if read is not None:
+                read.append((done + (dims - done) * len(left) / n) / dims)
+            for share in HEAVY[1:]:
+                if len(left) <= 4 * k:
+                    break
+                part, whole = x[left], order[i, : int(dims * share)]
+                bound = np.where(q[i] > 0, most[0][left], most[1][left])
+                bound[:, whole] = part[:, whole]
+                under = np.where(q[i] > 0, least_of[0][left], least_of[1][left])
+                under[:, whole] = part[:, whole]
+                floor[i] = max(floor[i], int(np.partition(under @ q[i], len(left) - k)[len(left) - k]))
+                left = left[bound @ q[i] >= floor[i]]
+            score = x[left] @ q[i]
             best = np.lexsort((ids[left], -score))[:k]
-            out.append((np.full(len(best), mine[i]), ids[left[best]], score[best].astype(np.int64)))
+            out.append((np.full(len(best), at + i), left[best], score[best].astype(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -92,57 +107,64 @@ def exact_top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int
     """Return (query_id, rank, vec_id, score): the k best rows of each query.
 
     Components are floor(scale * x). Queries are the rows where is_query
-    holds; candidates all rows but those with the query's id. Best is the
-    highest inner product, ties go to the smaller id; fewer than k candidates
-    give fewer rows. Null vectors, and vectors with null or non-finite
-    components, take no part, nor do rows with a null id. Vectors of different
-    lengths have no score. A query id that repeats counts once (its least
-    vector); repeated candidates are each ranked. An empty table gives no
-    rows; other columns are not read. OverflowError if a score needs more
-    than 64 bits.
+    holds; candidates all rows but the query's own. Best is the highest inner
+    product, ties go to the smaller id; fewer than k candidates give fewer
+    rows. Null vectors, and vectors with null or non-finite components, take
+    no part, nor do rows with a null id. Vectors of different lengths have no
+    score. Rows that repeat an id are queries and candidates each. An empty
+    table gives no rows; other columns, whatever their names, are not read.
+    OverflowError if a score needs more than 64 bits.
     """
     require(vectors, id_col, vector_col)
     ok = vectors.filter(_usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    rows = ok.select(F.col(id_col).cast("long").alias("id"), _whole(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
-    candidates = rows.select("id", "v")
-    queries = rows.filter("q").groupBy("id").agg(F.min("v").alias("v"))
+    rows = ok.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), _whole(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
+    rows = materialise(rows, "vectors")  # so that a row has one number
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
     across, down = (max(1, -(-n // each)) for n, each in ((sizes.n, CANDIDATES), (sizes.q, QUERIES_)))
-    # Blocks by the row's place in its file, so that equal ids don't meet in one block.
-    placed = candidates.withColumn("c", F.pmod(F.monotonically_increasing_id(), F.lit(across)).cast("int"))
-    one = placed.select("c", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"), F.lit(1).alias("side"), "id", "v")
-    two = queries.withColumn("d", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int"))
-    two = two.select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"), "d", F.lit(0).alias("side"), "id", "v")
-    cells = one.unionByName(two).withColumn("size", F.size("v")).repartition("c", "d", "size").sortWithinPartitions("c", "d", "size", "side")
+    placed = rows.select("row", "id", "v", F.pmod("row", F.lit(across)).cast("int").alias("c"), F.lit(1).alias("side"), F.lit(NONE).alias("least"))
+    queries = rows.filter("q").select("row", "id", "v", F.pmod(F.xxhash64("row"), F.lit(down)).cast("int").alias("d"), F.lit(0).alias("side"))
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
-        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+        side, row, ids, least = (t.column(c).to_numpy() for c in ("side", "row", "id", "least"))
         flat = t.column("v").combine_chunks()
         flat = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False)
-        v = flat.reshape(len(ids), -1)
-        a = side == 0
-        found = best_of_block(v[a], ids[a], v[~a], ids[~a], k)
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in found], names=["query_id", "vec_id", "score"])
+        v, a = flat.reshape(len(ids), -1), side == 0
+        query, found, score = best_of_block(v[a], row[a], least[a], v[~a], row[~a], ids[~a], k)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (row[a][query], ids[a][query], ids[~a][found], score)], names=["query", "query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = np.stack([batch.column(i).to_numpy() for i in (0, 1, 5)])
+            cell = np.stack([batch.column(i).to_numpy() for i in range(3)])
             cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             for start, end in zip(cuts, cuts[1:]):
                 part = batch.slice(start, end - start)
-                if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in (0, 1, 5)):
+                if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(3)):
                     yield solve(held)
                     held = []
                 held.append(part)
         if held:
             yield solve(held)
 
-    found = cells.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        both = one.unionByName(two).select("c", "d", F.size("v").alias("size"), "side", "row", "id", "v", "least")
+        cells = both.repartition("c", "d", "size").sortWithinPartitions("c", "d", "size", "side")
+        return cells.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+
+    none = F.lit(NONE).alias("least")
+    if across > 1:
+        # Each block of queries meets one block of rows first.
+        one = placed.filter(F.col("c") < down).withColumn("d", F.explode(F.expr(f"sequence(c, {down - 1}, {across})")))
+        first = met(one, queries.withColumn("c", F.pmod("d", F.lit(across))).select("*", none))
+        known = first.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
+        queries = queries.join(materialise(known.select(F.col("query").alias("row"), "least"), "least"), "row", "left").withColumn("least", F.coalesce("least", none))
+    else:
+        queries = queries.select("*", none)
+    found = met(placed.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))), queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
