@@ -298,7 +298,7 @@ def test_lm_matches_brute_force(spark, docs):
     for i, x in rows:
         if i is not None and i % 2 == 0:
             counts.update((x or "").encode().lower().split() + [b"\n"])
-    code = lambda w: int(np.uint64(lm.word_code(w)).astype(np.int64))
+    code = lm.word_code
     top = {w for w in counts if code(w) in t.codes}
     assert len(top) == 21 and min(counts[w] for w in top) >= max(c for w, c in counts.items() if w not in top)
     beyond = defaultdict(list)

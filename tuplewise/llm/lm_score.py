@@ -1,6 +1,7 @@
 """Operator 6: scoring by a log-bilinear neural model.
 
-Words are coded by a 64-bit hash whose low bits name their ending. The model's
+Words are coded by a 64-bit hash whose low bits name their ending; a slice of
+texts is split, lower-cased and coded by Arrow and numpy as a whole. The model's
 types are the training words, most frequent first and as many as the parameter
 `types` lets in, one class per ending for words beyond them, and the end of a
 text. The two words before a token predict it: with a vector r of each type,
@@ -23,44 +24,53 @@ table of frequent words by HEAD entries. Rarer words are joined.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, require, slices
+from .common import materialise, mix, require, slices
 
 ENDINGS = 64
 #: Frequent words whose counts are broadcast, at most (16 bytes each).
 HEAD = 500_000
-#: Word types of the model, at most (140 bytes each): a bound of memory.
-WORDS = 65_536
-SIZE, BATCH, GROUP_NOISE, WORD_NOISE, RATE = 16, 2048, 64, 5, 0.1
-
-
-class WordCodes(WordHashes):
-    """Bytes of a word -> hash with the ending's class in its low bits."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[word] = word_code(word)
-        return out
+_POINT = 0xC2B2AE3D27D4EB4F
+#: Word types of the model, at most (140 bytes each): a bound of memory. With the
+#: endings and the end they are 128 groups of 128.
+WORDS = 16_319
+SIZE, BATCH, GROUP_NOISE, WORD_NOISE, RATE = 16, 4096, 32, 2, 0.1
+
+
+def word_codes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, with the ending's class (of its last two bytes) in the low bits."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = words.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+    start, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    power, inverse = _powers(1 << int(len(data)).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[: len(data)])])
+    hashed = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    padded = np.concatenate([np.zeros(2, np.uint64), data])
+    # Where a word is shorter than two bytes, its length stands in for the missing one.
+    last, other = padded[end + 1], np.where(end - start > 1, padded[end], (end - start).astype(np.uint64))
+    ending = mix(last * np.uint64(257) + other) % np.uint64(ENDINGS)
+    return (hashed & ~np.uint64(ENDINGS - 1) | ending).view(np.int64)
+
+
+@lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a number modulo 2^64, and of its inverse."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_POINT, pow(_POINT, -1, 2**64)))
 
 
 def word_code(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & ~(ENDINGS - 1) | zlib.crc32(word[-2:]) % ENDINGS
-
-
-#: No word has white space, so this can't be one.
-END_CODE = word_code(b"\n")
+    return int(word_codes(pa.array([word], pa.binary()))[0])
 
 
 @dataclass
@@ -123,43 +133,51 @@ class Trainer:
         self.now = {k: v.copy() for k, v in unlearnt(types).items()}
         self.squares = {k: np.full(len(v), 1e-3, np.float32) for k, v in self.now.items()}
         self.met = {k: np.zeros(len(v), np.int64) for k, v in self.now.items()}
-        self.bounds = np.cumsum(types.share, axis=1)
-        self.bounds[:, -1] = 1.0
-        # Members drawn by frequency, a thousand for each group.
+        self.edges = np.cumsum(types.group_share)[:-1]
+        # Members drawn by frequency, a thousand for each group; those that this leaves out are no noise.
         points = (np.arange(1024) + 0.5) / 1024
-        self.drawn = np.array([np.searchsorted(b, points) for b in self.bounds]).astype(np.int64)
+        self.drawn = np.array([np.searchsorted(b, points) for b in np.cumsum(types.share, axis=1)[:, :-1]])
+        log = lambda share, k: np.log(np.maximum(k * share, 1e-30)).astype(np.float32)
+        self.log_group, self.log_word = log(types.group_share, GROUP_NOISE), log(types.share.ravel(), WORD_NOISE)
 
     def change(self, name: str, rows: np.ndarray, slope: np.ndarray) -> None:
         """One adaptive step for each row; rows may repeat."""
+        if len(self.now[name]) <= 1 << 16:
+            rows = rows.astype(np.uint16)  # sorted by digits
         order = np.argsort(rows, kind="stable")
-        rows = rows[order]
+        rows = rows[order].astype(np.int64)
         first = np.flatnonzero(np.diff(rows, prepend=-1))
         total, at = np.add.reduceat(slope[order], first, axis=0), rows[first]
-        self.squares[name][at] += (total * total).mean(axis=1)
-        self.now[name][at] -= RATE * total / np.sqrt(self.squares[name][at])[:, None]
+        square = self.squares[name][at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        self.squares[name][at] = square
+        self.now[name][at] -= total * (RATE / np.sqrt(square))[:, None]
         self.met[name][at] += np.diff(first, append=len(rows))
 
     def step(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> None:
         t, r, c, g, w = self.types, *(self.now[k] for k in "rcgw")
-        told = lambda score, share, k: 1 / (1 + np.exp(np.log(k * share).astype(np.float32) - score))
         v1, v2 = r[one], r[two]
-        h = np.hstack([v1 * c[0] + v2 * c[1], np.ones((len(token), 1), np.float32)])
+        h = np.empty((len(token), SIZE + 1), np.float32)
+        h[:, :SIZE] = v1 * c[0] + v2 * c[1]
+        h[:, SIZE] = 1
         group, member = token % t.groups, token // t.groups
-        noise = np.searchsorted(np.cumsum(t.group_share)[:-1], self.random.random(GROUP_NOISE))
-        data = told(np.einsum("ij,ij->i", h, g[group]), t.group_share[group], GROUP_NOISE)[:, None] - 1
-        other = told(h @ g[noise].T, t.group_share[noise], GROUP_NOISE)
-        back = data * g[group] + other @ g[noise]
-        rows, slope = np.concatenate([group, noise]), np.concatenate([data * h, other.T @ h])
-        place = group[:, None] * t.members + np.column_stack([member, self.drawn[group[:, None], self.random.integers(0, 1024, (len(token), WORD_NOISE))]])
-        words = w[place]
-        hint = told(np.einsum("ij,ikj->ik", h, words), t.share.ravel()[place], WORD_NOISE)
+        noise = np.searchsorted(self.edges, self.random.random(GROUP_NOISE))
+        rows = g[group]
+        data = told(np.einsum("ij,ij->i", h, rows), self.log_group[group])[:, None] - 1
+        other = told(h @ g[noise].T, self.log_group[noise])
+        back = data * rows + other @ g[noise]
+        self.change("g", np.concatenate([group, noise]), np.concatenate([data * h, other.T @ h]))
+        place = np.empty((len(token), WORD_NOISE + 1), np.int64)
+        place[:, 0] = member
+        place[:, 1:] = self.drawn[group[:, None], self.random.integers(0, 1024, (len(token), WORD_NOISE))]
+        place += group[:, None] * t.members
+        rows = w[place]
+        hint = told(np.einsum("ij,ikj->ik", h, rows), self.log_word[place])
         hint[:, 0] -= 1
-        back += np.einsum("ik,ikj->ij", hint, words)
-        self.change("g", rows, slope)
+        back += np.einsum("ik,ikj->ij", hint, rows)
         self.change("w", place.ravel(), (hint[:, :, None] * h[:, None, :]).reshape(-1, SIZE + 1))
         back = back[:, :SIZE]
         self.change("r", np.concatenate([one, two]), np.concatenate([back * c[0], back * c[1]]))
-        self.change("c", np.arange(2), np.stack([(back * v1).sum(axis=0), (back * v2).sum(axis=0)]))
+        self.change("c", np.arange(2), np.stack([np.einsum("ij,ij->j", back, v1), np.einsum("ij,ij->j", back, v2)]))
         self.met["c"] += len(token) - 1
 
     def learn(self, tokens: np.ndarray, starts: np.ndarray) -> None:
@@ -170,6 +188,11 @@ class Trainer:
             self.step(two[some], one[some], tokens[some])
 
 
+def told(score: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Probability that a sample with this score is none of the noise, whose expected number's logarithm is given."""
+    return 1 / (1 + np.exp(noise - score))
+
+
 #: Places of the parameters in one numbering of rows.
 def _offsets(types: Types) -> dict[str, int]:
     sizes = {"r": types.start + 1, "c": 2, "g": types.groups, "w": types.groups * types.members}
@@ -202,36 +225,57 @@ class Model:
     def _of(h: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the softmax over rows at each target."""
         score = h @ rows.T
-        score -= score.max(axis=1, keepdims=True)
         own = score[np.arange(len(target)), target]
-        return own - np.log(np.exp(score, out=score).sum(axis=1))
+        with np.errstate(over="ignore", divide="ignore"):
+            out = own - np.log(np.exp(score, out=score) @ np.ones(len(rows), np.float32))
+        if not np.isfinite(out).all():  # scores beyond the range of exp
+            score = h @ rows.T
+            top = score.max(axis=1)
+            out = own - top - np.log(np.exp(score - top[:, None]).sum(axis=1))
+        return out
+
+
+#: No word has white space, so this can't be one.
+END_CODE = word_code(b"\n")
 
 
-def _tokens(part, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the tokens of a slice's texts, and the place of each first token."""
-    texts = [codes.of(t.encode("utf-8").lower().split()) if t else np.empty(0, np.uint64) for t in part.to_pylist()]
-    end = np.array([END_CODE], np.uint64)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    return np.concatenate([x for t in texts for x in (t, end)]).view(np.int64), np.cumsum(lengths) - lengths
+def _words(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the distinct words of a slice's texts, the place among them of each token, and of each text's first token.
+
+    The last code is the end's, which closes every text.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.binary_length(flat).to_numpy() > 0  # text that begins or ends with a space
+    before = np.concatenate([[0], np.cumsum(full)])
+    ends = before[offsets - offsets[0]]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    # The end after each text.
+    tokens = np.full(len(coded) + len(part), len(coded.dictionary), np.int32)
+    own = np.ones(len(tokens), bool)
+    own[ends[1:] + np.arange(len(part))] = False
+    tokens[own] = coded.indices.to_numpy()
+    return np.append(word_codes(coded.dictionary), END_CODE), tokens, ends[:-1] + np.arange(len(part))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out() -> pa.RecordBatch:
-        codes = np.fromiter(map(word_code, counts), np.uint64, len(counts)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.values(), pa.int64())], names=["code", "n"])
+        codes, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n for _, n in held]))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
     for batch in batches:
-        for part in slices(batch):
-            for text in part.column(0).to_pylist():
-                if text:
-                    counts.update(text.encode("utf-8").lower().split())
-            counts[b"\n"] += part.num_rows
-            if len(counts) > 300_000:
+        for part in slices(batch, 1024):
+            if part.num_rows:
+                codes, tokens, _ = _words(part.column(0))
+                held.append((codes, np.bincount(tokens, minlength=len(codes))))
+            if sum(len(c) for c, _ in held) > 1_500_000:
                 yield out()
-                counts.clear()
-    yield out()
+    if held:
+        yield out()
 
 
 def held_out(doc_id: Column, of: int = 7, one: int = 2) -> Column:
@@ -262,19 +306,19 @@ def learn(texts: DataFrame, *, words: int = WORDS, head: int = HEAD) -> Learnt:
     spark = texts.sparkSession
     counts = materialise(texts.mapInArrow(_count_words, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "words")
     level = F.floor(F.log2("n") * 16)
-    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
-    # Whole levels of frequency, and of the level that doesn't fit a share by hash.
-    frequent, held = F.lit(False), 0
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
+    # Whole levels of frequency, and of the first one that doesn't fit a share by hash.
+    least, share, held = 1 << 62, 0, 0
     for r in levels:
-        share = min(1.0, 0.98 * max(0, head - held - 1000) / r.words) if held + r.words > head else 1.0
-        frequent |= (level == r.level) & (F.shiftrightunsigned("code", 48) < int(share * 65536))
-        held += r.words
-        if share < 1:
+        if held + r.words > head:
+            share = int(65536 * 0.98 * max(0, head - held - 1000) / r.words)
             break
-    frequent |= F.col("code") == int(np.uint64(END_CODE).astype(np.int64))
+        held, least = held + r.words, r.least
+    cut = r.least if share else least
+    frequent = (F.col("n") >= least) | ((F.col("n") >= cut) & (F.shiftrightunsigned("code", 48) < share)) | (F.col("code") == END_CODE)
     table = counts.filter(frequent).toArrow().sort_by("code")
     codes, n = table.column("code").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-    end = np.uint64(END_CODE).astype(np.int64)
+    end = np.int64(END_CODE)
     order = np.lexsort((codes, -n))
     order = order[codes[order] != end][:words]
 
@@ -298,13 +342,13 @@ def learn(texts: DataFrame, *, words: int = WORDS, head: int = HEAD) -> Learnt:
     names = [f"x{i}" for i in range(SIZE + 1)]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, word_codes, trainer = shared.value, WordCodes(), None
+        types, trainer = shared.value, None
         for batch in batches:
             for part in slices(batch):
                 if part.num_rows:
                     trainer = trainer or Trainer(types, TaskContext.get().partitionId())
-                    tokens, starts = _tokens(part.column(0), word_codes)
-                    trainer.learn(types.of(tokens), starts)
+                    some, tokens, starts = _words(part.column(0))
+                    trainer.learn(types.of(some)[tokens], starts)
         if trainer is None:
             return
         before, offsets = unlearnt(types), _offsets(types)
@@ -354,13 +398,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         types = model.types
         classes = np.zeros(types.start, bool)
         classes[types.of_ending] = True
-        codes = WordCodes()
         for batch in batches:
             for part in slices(batch):
                 if not part.num_rows:
                     continue
-                tokens, starts = _tokens(part.column(1), codes)
-                some, back = np.unique(tokens, return_inverse=True)
+                some, back, starts = _words(part.column(1))
                 at = np.minimum(np.searchsorted(head_codes, some), max(len(head_codes) - 1, 0))
                 known = head_codes[at] == some if len(head_codes) else np.zeros(len(some), bool)
                 logs = np.where(known, head_log[at], 0.0) if len(head_codes) else np.zeros(len(some))
@@ -370,10 +412,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 one, two = types.before(kinds, starts)
                 each = model.log10p(two, one, kinds).astype(np.float64) + share[back]
                 add = lambda x: np.add.reduceat(x, starts)
-                lengths = np.diff(starts, append=len(tokens))
+                lengths = np.diff(starts, append=len(back))
                 missing = ~known[back]
                 lost = add(missing.astype(np.int64))
-                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lost)]), pa.int32()), pa.array(tokens[missing]))
+                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lost)]), pa.int32()), pa.array(some[back[missing]]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(lengths), pa.array(lengths - lost), pa.array(add(logs[back]) - lengths * log_all), pa.array(add(each)), tail],
                     names=["id", "out", "n_tokens", "known", "base", "score", "tail"],
