@@ -1,4 +1,4 @@
-"""Suppliers and parts, dogs and owners."""
+"""Suppliers and parts, boats and crews."""
 
 from tuplewise.relation import Relation
 
@@ -19,10 +19,10 @@ def shipments(spark):
     return Relation.table(spark, {"S#": "string", "P#": "string", "QTY": "int"}, *rows)
 
 
-def dogs(spark):
-    return Relation.table(spark, {"DogName": "string", "Breed": "string"}, ("Fido", "Poodle"), ("Sam", "Collie"), ("Spot", "Terrier"), ("Rover", "Retriever"), ("Fred", "Spaniel"), ("Jumper", "Mutt"))
+def boats(spark):
+    return Relation.table(spark, {"Boat": "string", "Rig": "string"}, ("Tern", "sloop"), ("Puffin", "ketch"), ("Gannet", "cutter"), ("Auk", "yawl"), ("Petrel", "lugger"))
 
 
-def ownership(spark):
-    rows = [("Sue", "Fido", "2001"), ("Sue", "Sam", "2000"), ("George", "Fido", "2001"), ("George", "Sam", "2000"), ("Alice", "Spot", "2001"), ("Mike", "Rover", "2002"), ("Jim", "Fred", "2003")]
-    return Relation.table(spark, {"OwnerName": "string", "DogName": "string", "Acquired": "string"}, *rows)
+def crews(spark):
+    rows = [("Ines", "Tern", "1998"), ("Olaf", "Tern", "1998"), ("Ines", "Puffin", "2004"), ("Bao", "Gannet", "2011"), ("Noor", "Auk", "1998")]
+    return Relation.table(spark, {"Sailor": "string", "Boat": "string", "Since": "string"}, *rows)

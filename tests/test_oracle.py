@@ -2,7 +2,7 @@
 
 import pytest
 
-from tuplewise.plans.queries import QUERIES, SQL
+from tuplewise.plans.registered import QUERIES, SQL
 
 from .compare import differences
 

@@ -3,8 +3,15 @@
 A relvar is a catalog record that points to an immutable relation. A statement
 builds a new relation and swaps the pointer; identifiers and constraints are
 checked when the outermost transaction ends, each by one small job, and a
-failure restores the pointers. Changed relvars are written to the shared
-folder before they are checked, so plans don't grow from statement to statement.
+failure restores the pointers.
+
+Inserts and deletes are deltas: what is new is written to the shared folder and
+joins what is there, and identifiers and constraints are checked for the keys of
+the delta only. Other statements write the whole relvar and check all of it.
+After some deltas a relvar is written whole, so plans don't grow without end.
+
+Names live in namespaces: "::a::b" is absolute, other names are looked up in
+the current namespace and then in the global one.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ class Relvar:
     heading: dict
     traces: list[tuple[tuple[str, ...], Callable]] = field(default_factory=list)
     tracing: bool = False
+    deltas: int = 0
 
 
 @dataclass
@@ -46,7 +54,13 @@ class Constraint:
     kind: str
     relvars: list[str]
     info: dict
-    check: Callable[[Catalog], str | None]
+    check: Callable[[Catalog, Changes | None], str | None]
+
+
+#: By relvar: tuples that came or went, or None where any may have changed.
+Changes = dict[str, "list[DataFrame] | None"]
+#: A relvar of more deltas than this is written whole.
+DELTAS = 8
 
 
 class Catalog:
@@ -58,7 +72,9 @@ class Catalog:
         self._constraints: dict[str, Constraint] = {}
         self._saved: list[dict[str, Relation]] = []
         self._watchers: list[Callable[[str, int], None]] = []
+        self._changes: Changes = {}
         self._quiet = 0
+        self.namespace = ""
 
     # Lookup
 
@@ -66,19 +82,37 @@ class Catalog:
         return self._find(name).value
 
     def _find(self, name: str) -> Relvar:
-        if name not in self._relvars:
-            raise E.UnknownRelvar(name)
-        return self._relvars[name]
+        for n in self._candidates(name):
+            if n in self._relvars:
+                return self._relvars[n]
+        raise E.UnknownRelvar(name)
+
+    def _candidates(self, name: str) -> list[str]:
+        """Where a name is looked up: as an absolute one, or here and then globally."""
+        if name.startswith("::"):
+            return [name[2:]]
+        return [f"{self.namespace}::{name}", name] if self.namespace else [name]
+
+    @contextmanager
+    def within(self, namespace: str) -> Iterator[Catalog]:
+        """Names are created and looked up first in this namespace; relative ones nest."""
+        before = self.namespace
+        self.namespace = namespace[2:] if namespace.startswith("::") else f"{before}::{namespace}" if before else namespace
+        try:
+            yield self
+        finally:
+            self.namespace = before
 
     def exists(self, name: str) -> bool:
-        return name in self._relvars
+        return any(n in self._relvars for n in self._candidates(name))
 
     def names(self, pattern: str = "*") -> list[str]:
-        return sorted(n for n in self._relvars if fnmatch.fnmatchcase(n, pattern))
+        """Names that match, without the leading :: of absolute ones."""
+        return sorted(n for n in self._relvars if fnmatch.fnmatchcase(n, pattern.removeprefix("::")))
 
     def path(self, name: str) -> str:
-        """The name itself: a catalog is one flat name space."""
-        return self._find(name).name
+        """The absolute name."""
+        return "::" + self._find(name).name
 
     def identifiers(self, name: str) -> list[tuple[str, ...]]:
         return list(self._find(name).identifiers)
@@ -89,6 +123,7 @@ class Catalog:
         """A new, empty relvar with one or more identifiers."""
         if self._saved:
             raise E.InTransaction("create")
+        name = self._candidates(name)[0]
         if name in self._relvars:
             raise E.DuplicateName(name)
         ids = [(i,) if isinstance(i, str) else tuple(i) for i in identifiers]
@@ -104,15 +139,16 @@ class Catalog:
                 raise E.BadIdentifier(f"{i} is part of another one")
         value = Relation.create(self.spark, heading)
         self._relvars[name] = Relvar(name, ids, Relation(value.df, keys=ids), dict(heading))
-        return self[name]
+        return self._relvars[name].value
 
     def unset(self, *names: str) -> None:
         if self._saved:
             raise E.InTransaction("unset")
         for n in names:
+            relvar = self._find(n)
+            n = relvar.name
             if any(n in c.relvars for c in self._constraints.values()):
                 raise E.HasConstraints(n)
-            relvar = self._find(n)
             for operations, f in reversed(relvar.traces):
                 if "unset" in operations and not self._quiet:
                     try:
@@ -154,6 +190,8 @@ class Catalog:
         except BaseException:
             self._restore(self._saved.pop())
             raise
+        finally:
+            self._changes = {}
         self._saved.pop()
 
     def rollback(self) -> None:
@@ -161,6 +199,8 @@ class Catalog:
             raise E.NoTransaction()
         self._tell("end")
         self._restore(self._saved.pop())
+        if not self._saved:
+            self._changes = {}
 
     def _restore(self, saved: dict[str, Relation]) -> None:
         for n, value in saved.items():
@@ -174,29 +214,42 @@ class Catalog:
                 except Exception:  # noqa: BLE001  such a trace can't stop a transaction
                     continue
 
+    def _changed(self, relvar: Relvar, delta: DataFrame | None) -> None:
+        """Note tuples that came or went; None: any may have changed."""
+        known = self._changes.setdefault(relvar.name, [])
+        if delta is None:
+            self._changes[relvar.name] = None
+        elif known is not None:
+            known.append(delta)
+
     def _validate(self) -> None:
         changed = set(self._saved[-1])
         for n in sorted(changed):
-            relvar = self._relvars[n]
-            df, _ = write_scratch(relvar.value.df, "relvar")
+            relvar, deltas = self._relvars[n], self._changes.get(n)
+            relvar.deltas = relvar.deltas + 1 if deltas is not None else DELTAS + 1
+            if relvar.deltas > DELTAS:
+                df, relvar.deltas = write_scratch(relvar.value.df, "relvar")[0], 0
+            else:
+                df = relvar.value.df
             for i in relvar.identifiers:
-                clash = df.groupBy(*map(quoted, i)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).collect()
+                rows = df if deltas is None else _touched(df, i, [(d, i) for d in deltas])
+                clash = rows.groupBy(*map(quoted, i)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).collect()
                 if clash:
                     raise E.IdentifierViolation(f"{n}: {clash[0].asDict()}")
             relvar.value = Relation(df, keys=relvar.identifiers)
         for c in self._constraints.values():
             if changed & set(c.relvars):
-                self._hold(c)
+                self._hold(c, {n: self._changes.get(n) if n in changed else [] for n in c.relvars})
 
-    def _hold(self, constraint: Constraint) -> None:
-        if (why := constraint.check(self)) is not None:
+    def _hold(self, constraint: Constraint, changes: Changes | None = None) -> None:
+        if (why := constraint.check(self, changes)) is not None:
             raise E.ConstraintViolation(f"{constraint.name}: {why}")
 
     @contextmanager
     def _statement(self, name: str) -> Iterator[Relvar]:
         relvar = self._find(name)
         with self.transaction():
-            self._saved[-1].setdefault(name, relvar.value)
+            self._saved[-1].setdefault(relvar.name, relvar.value)
             yield relvar
 
     def _trace(self, relvar: Relvar, operation: str, df: DataFrame) -> DataFrame:
@@ -221,6 +274,7 @@ class Catalog:
             df = relvar.value._aligned(value, "set")
             new = Relation(self._trace(relvar, "set", Relation(df, value.is_set).df))
             relvar.value = Relation(relvar.value._aligned(new, "set"), new.is_set)
+            self._changed(relvar, None)
         return self[name]
 
     def _literal(self, relvar: Relvar, tuples: Sequence[Mapping[str, object]] | Relation) -> DataFrame:
@@ -256,6 +310,7 @@ class Catalog:
             new = self._complete(relvar, self._literal(relvar, tuples[0] if tuples and isinstance(tuples[0], Relation) else tuples))
             new, _ = write_scratch(new, "inserted")
             relvar.value = Relation(relvar.value.df.union(new), True)  # repeated tuples repeat an identifier
+            self._changed(relvar, new)
         return Relation(new)
 
     def uinsert(self, name: str, *tuples: Mapping[str, object] | Relation) -> Relation:
@@ -268,16 +323,21 @@ class Catalog:
                 new = new.groupBy(*map(quoted, i)).agg(F.min(row).alias("_t")).select("_t.*")
             new, _ = write_scratch(new.select(*map(quoted, relvar.heading)), "inserted")
             relvar.value = Relation(relvar.value.df.union(new), True)
+            self._changed(relvar, new)
         return Relation(new, True)
 
     def delete(self, name: str, condition: Column | str) -> int:
         """Remove tuples for which the condition holds; their number."""
         test = F.expr(condition) if isinstance(condition, str) else condition
         with self._statement(name) as relvar:
-            gone = relvar.value.df.filter(test)
+            gone, _ = write_scratch(relvar.value.df.filter(test), "deleted")
             self._trace(relvar, "delete", gone)
             n = gone.count()
-            relvar.value = Relation(relvar.value.df.filter(~F.coalesce(test, F.lit(False))), True, relvar.identifiers)
+            left = relvar.value.df.filter(~F.coalesce(test, F.lit(False)))
+            if not left._jdf.queryExecution().analyzed().deterministic():
+                left = relvar.value.df.subtract(gone)
+            relvar.value = Relation(left, True, relvar.identifiers)
+            self._changed(relvar, gone)
         return n
 
     def _identified(self, relvar: Relvar, key: Mapping[str, object]) -> Column:
@@ -298,12 +358,45 @@ class Catalog:
         test = F.expr(condition) if isinstance(condition, str) else condition
         with self._statement(name) as relvar:
             test = F.coalesce(test, F.lit(False))
-            old = relvar.value.df.filter(test)
-            new = self._trace(relvar, "update", Relation(old, True).update(F.lit(True), values)._df)
-            new, _ = write_scratch(relvar.value._aligned(Relation(new), "update"), "updated")
+            old = relvar.value.df.filter(test).withColumn("_old", F.struct(*map(quoted, relvar.heading)))
+            new = self._updated(relvar, Relation(old, True).update(F.lit(True), values)._df)
+            new, _ = write_scratch(new, "updated")
             relvar.value = Relation(relvar.value.df.filter(~test).union(new))
+            self._changed(relvar, None)
         return Relation(new)
 
+    def _updated(self, relvar: Relvar, df: DataFrame) -> DataFrame:
+        """New tuples as the update traces leave them; they see the tuple before as the struct _old."""
+        df = self._trace(relvar, "update", df)
+        return relvar.value._aligned(Relation(df.drop("_old")), "update")
+
+    def update_each(self, name: str, condition: Column | str, change: Callable[[dict], Mapping | None]) -> Relation:
+        """New values for one tuple after the other, by a function of the host language.
+
+        It returns what changes, or None to leave a tuple; StopIteration ends
+        the loop and keeps what was done. Tuples come through the driver one
+        partition at a time; what changed is held there.
+        """
+        test = F.expr(condition) if isinstance(condition, str) else condition
+        with self._statement(name) as relvar:
+            old, new = [], []
+            for r in relvar.value.df.filter(test).toLocalIterator():
+                row = r.asDict(recursive=True)
+                try:
+                    values = change(dict(row))
+                except StopIteration:
+                    break
+                if values is not None:
+                    old.append(row)
+                    new.append({**row, **values})
+            there = struct_type(relvar.heading)
+            before, after = (self.spark.createDataFrame([tuple(t[n] for n in there.names) for t in x], there) for x in (old, new))
+            pairs = self.spark.createDataFrame([(*(t[n] for n in there.names), tuple(o[n] for n in there.names)) for o, t in zip(old, new)], there.add("_old", struct_type(relvar.heading)))
+            after, _ = write_scratch(self._updated(relvar, pairs), "updated")
+            relvar.value = Relation(relvar.value.df.subtract(before).union(after))
+            self._changed(relvar, None)
+        return Relation(after)
+
     def updateone(self, name: str, key: Mapping[str, object], values: Mapping[str, Column | str]) -> Relation:
         """New values for the tuple with this identifier value."""
         return self.update(name, self._identified(self._find(name), key), values)
@@ -320,13 +413,14 @@ class Catalog:
             keys = list(dict.fromkeys(a for i in held for a in i))
             values = [a for a in per.attributes if a not in keys]
             right = per.df.select(*(quoted(a).alias(f"_k{i}") for i, a in enumerate(keys)), *(quoted(a).alias(f"_v{i}") for i, a in enumerate(values)), F.lit(True).alias("_hit"))
+            row = F.struct(*map(quoted, relvar.heading)).alias("_old")
             on = reduce(Column.__and__, (quoted(a) == F.col(f"_k{i}") for i, a in enumerate(keys)))
             both = relvar.value.df.join(right, on, "left")
-            out = both.select(*(F.when(F.col("_hit"), F.col(f"_v{values.index(a)}")).otherwise(quoted(a)).alias(a) if a in values else quoted(a) for a in relvar.heading), F.coalesce("_hit", F.lit(False)).alias("_hit"))
+            out = both.select(*(F.when(F.col("_hit"), F.col(f"_v{values.index(a)}")).otherwise(quoted(a)).alias(a) if a in values else quoted(a) for a in relvar.heading), F.coalesce("_hit", F.lit(False)).alias("_hit"), row)
             out, _ = write_scratch(out, "updated")
-            new = self._trace(relvar, "update", out.filter("_hit").drop("_hit"))
-            new = relvar.value._aligned(Relation(new), "update")
-            relvar.value = Relation(out.filter("not _hit").drop("_hit").union(new))
+            new = self._updated(relvar, out.filter("_hit").drop("_hit"))
+            relvar.value = Relation(out.filter("not _hit").drop("_hit", "_old").union(new))
+            self._changed(relvar, None)
         return Relation(new)
 
     def union(self, name: str, *others: Relation) -> Relation:
@@ -366,8 +460,9 @@ class Catalog:
         if spec not in SPECS or to_spec not in ("1", "?"):
             raise E.BadMultiplicity(f"{spec} {to_spec}")
         self._reference(referring, attrs, to, to_attrs)
+        referring, to = self._find(referring).name, self._find(to).name
         info = {"referring": referring, "attrs": list(attrs), "spec": spec, "to": to, "to_attrs": list(to_attrs), "to_spec": to_spec}
-        self._declare(Constraint(name, "association", [referring, to], info, lambda c: _first(violations(c[referring], attrs, spec, c[to], to_attrs, to_spec))))
+        self._declare(Constraint(name, "association", [referring, to], info, lambda c, changes: _first(violations(*c._affected(changes, (referring, attrs), (to, to_attrs), between=spec), to_spec))))
 
     def partition(self, name: str, whole: str, attrs: Sequence[str], *parts: tuple[str, Sequence[str]]) -> None:
         """Every tuple of whole is referred to by exactly one tuple of the parts."""
@@ -375,8 +470,9 @@ class Catalog:
             raise E.DuplicateName([p for p, _ in parts])
         for p, a in parts:
             self._reference(p, a, whole, attrs)
+        whole, parts = self._find(whole).name, [(self._find(p).name, a) for p, a in parts]
         info = {"whole": whole, "attrs": list(attrs), "parts": [[p, list(a)] for p, a in parts]}
-        self._declare(Constraint(name, "partition", [whole, *(p for p, _ in parts)], info, lambda c: _first(partition_violations(c[whole], attrs, [(c[p], a) for p, a in parts]))))
+        self._declare(Constraint(name, "partition", [whole, *(p for p, _ in parts)], info, lambda c, changes: _first(_partitioned(c._affected(changes, (whole, attrs), *parts)))))
 
     def correlation(self, name: str, relvar: str, attrs_a: Sequence[str], spec_a: str, rel_a: str, id_a: Sequence[str], attrs_b: Sequence[str], spec_b: str, rel_b: str, id_b: Sequence[str], complete: bool = False) -> None:
         """An associative relvar between two others; complete: it pairs all of them."""
@@ -384,9 +480,12 @@ class Catalog:
             raise E.BadMultiplicity(f"{spec_a} {spec_b}")
         self._reference(relvar, attrs_a, rel_a, id_a)
         self._reference(relvar, attrs_b, rel_b, id_b)
+        relvar, rel_a, rel_b = (self._find(n).name for n in (relvar, rel_a, rel_b))
 
-        def check(c: Catalog) -> str | None:
-            found = _first(violations(c[relvar], attrs_a, spec_b, c[rel_a], id_a, "1")) or _first(violations(c[relvar], attrs_b, spec_a, c[rel_b], id_b, "1"))
+        def check(c: Catalog, changes: Changes | None) -> str | None:
+            one = c._affected(changes, (relvar, attrs_a), (rel_a, id_a), between=spec_b)
+            two = c._affected(changes, (relvar, attrs_b), (rel_b, id_b), between=spec_a)
+            found = _first(violations(*one, "1")) or _first(violations(*two, "1"))
             if found is None and complete and c[relvar].cardinality() != c[rel_a].cardinality() * c[rel_b].cardinality():
                 return "not complete"
             return found
@@ -398,9 +497,21 @@ class Catalog:
         """A predicate over the catalog, checked whenever one of the relvars changes."""
         if not relvars:
             raise E.UnknownRelvar("none given")
-        for n in relvars:
-            self._find(n)
-        self._declare(Constraint(name, "procedural", list(relvars), {"relvars": list(relvars)}, lambda c: None if holds(c) else "predicate is false"))
+        relvars = [self._find(n).name for n in relvars]
+        self._declare(Constraint(name, "procedural", relvars, {"relvars": relvars}, lambda c, _: None if holds(c) else "predicate is false"))
+
+    def _affected(self, changes: Changes | None, *sides: tuple[str, Sequence[str]], between: str | None = None) -> list:
+        """Each side's relation and attributes, of the keys that a delta touches; the whole relations if it can't be told.
+
+        between, if given, stands after the first side.
+        """
+        values = [self._relvars[n].value for n, _ in sides]
+        if changes is not None and all(changes.get(n) is not None for n, _ in sides):
+            touched = [(d, a) for n, a in sides for d in changes[n]]
+            if touched:
+                values = [Relation(_touched(v.df, a, touched), True) for v, (_, a) in zip(values, sides)]
+        out = [x for v, (_, a) in zip(values, sides) for x in (v, a)]
+        return out if between is None else [*out[:2], between, *out[2:]]
 
     def constraint_exists(self, name: str) -> bool:
         return name in self._constraints
@@ -418,8 +529,8 @@ class Catalog:
         return self.constraint_info(name)["name"]
 
     def constraint_member(self, relvar: str) -> list[str]:
-        self._find(relvar)
-        return sorted(c.name for c in self._constraints.values() if relvar in c.relvars)
+        name = self._find(relvar).name
+        return sorted(c.name for c in self._constraints.values() if name in c.relvars)
 
     def constraint_delete(self, *names: str) -> None:
         for n in names:
@@ -429,7 +540,10 @@ class Catalog:
     # Traces
 
     def trace_add(self, name: str, operations: Sequence[str], f: Callable) -> None:
-        """Call f with the DataFrame of a statement's tuples (unset: the name); what it returns takes their place."""
+        """Call f with the DataFrame of a statement's tuples (unset: the name); what it returns takes their place.
+
+        An update's DataFrame has each tuple as it was, too, in the struct _old.
+        """
         if not operations or set(operations) - set(OPERATIONS):
             raise E.BadTrace(list(operations))
         self._find(name).traces.append((tuple(operations), f))
@@ -458,6 +572,16 @@ class Catalog:
             self._quiet -= 1
 
 
+def _touched(df: DataFrame, attrs: Sequence[str], deltas: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Tuples whose values of attrs stand in one of the deltas, under that one's own names."""
+    keys = reduce(DataFrame.union, (d.select(*(quoted(a).alias(f"_k{i}") for i, a in enumerate(names))) for d, names in deltas)).distinct()
+    return df.join(keys, reduce(Column.__and__, (quoted(a).eqNullSafe(F.col(f"_k{i}")) for i, a in enumerate(attrs))), "left_semi")
+
+
+def _partitioned(sides: list) -> DataFrame:
+    return partition_violations(sides[0], sides[1], list(zip(sides[2::2], sides[3::2])))
+
+
 def violations(referring: Relation, attrs: Sequence[str], spec: str, to: Relation, to_attrs: Sequence[str], to_spec: str) -> DataFrame:
     """Key values and why they break a reference: one full pass over both key sets."""
     keys = [f"k{i}" for i in range(len(attrs))]

@@ -94,3 +94,21 @@ def rrelation(*attrs: str) -> Aggregate:
 def aggregate(column: Column, empty: object = None) -> Aggregate:
     """Any aggregate column."""
     return Aggregate(lambda _: column, empty)
+
+
+def rfold(function: Callable, kind: T.DataType | str, attr: str, empty: object = None) -> Aggregate:
+    """An aggregate function of the host language over the pandas Series of one attribute.
+
+    It sees whole groups, so each has to fit a worker; built-in aggregates don't need that.
+    """
+
+    def build(_: T.DataType | None) -> Column:
+        import pandas as pd
+
+        def whole(values):
+            return function(values)
+
+        whole.__annotations__ = {"values": pd.Series, "return": float}  # one value for a series
+        return F.pandas_udf(whole, kind)(quoted(attr))
+
+    return Aggregate(build, empty, attr)

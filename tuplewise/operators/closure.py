@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import delete, write_scratch
+from ..plans.scratch import write_scratch
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
@@ -13,25 +13,21 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
 
     Round i joins the pairs that round i - 1 was the first to find with all
     pairs found so far, so path lengths double and a chain of n edges takes
-    about log n rounds; cycles end when nothing is new. Rounds are written
-    to the shared folder: a lost executor costs a re-read.
+    about log n rounds; cycles end when nothing is new. Each round's new pairs
+    are written once, to the shared folder, and what was found so far is read
+    as those tables together: nothing is rewritten, a lost executor costs a
+    re-read, and a small round is broadcast by Spark's own size check.
     """
     spark = edges.sparkSession
-    full, path = write_scratch(edges.distinct(), "closure")
-    paths, delta = [path], full
-    while True:
+    delta, path = write_scratch(edges.distinct(), "closure")
+    paths, count = [path], delta.count()
+    while count:
+        full = spark.read.schema(edges.schema).parquet(*paths)
         step = _compose(delta, full).unionByName(_compose(full, delta)).distinct()
-        new, path = write_scratch(step.join(full, ["u", "v"], "left_anti"), "closure")
+        delta, path = write_scratch(step.join(full, ["u", "v"], "left_anti"), "closure")
         paths.append(path)
-        if new.isEmpty():
-            break
-        full, path = write_scratch(full.unionByName(new), "closure")
-        delta = new
-        keep = {path, paths[-1]}
-        for old in [p for p in paths if p not in keep]:
-            delete(spark, old)
-        paths = [*keep]
-    return full
+        count = delta.count()
+    return spark.read.schema(edges.schema).parquet(*paths)
 
 
 def _compose(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..types import quoted
 
 
 def competition_rank(df: DataFrame, attr: str, new: str, descending: bool) -> DataFrame:
-    """Add 1 + the number of tuples with a smaller (larger) value, as int.
+    """Add 1 + the number of tuples with a smaller (larger) value, as long.
 
     Values are counted first. Their counts are range-partitioned, each
     partition's sum gives where it starts, and the ranks of values join back:
@@ -19,7 +21,7 @@ def competition_rank(df: DataFrame, attr: str, new: str, descending: bool) -> Da
     value = quoted(attr)
     counts = df.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     placed = number(counts, [F.col("_v").desc() if descending else F.col("_v").asc()], "_r", F.col("_n"))
-    ranks = placed.select("_v", (F.col("_r") + 1).cast("int").alias(new))
+    ranks = placed.select("_v", (F.col("_r") + 1).alias(new))
     return df.join(ranks, value.eqNullSafe(F.col("_v"))).drop("_v")
 
 
@@ -42,16 +44,24 @@ def number(df: DataFrame, order: list[Column], new: str, weight: Column | None =
 
 
 def tagged(df: DataFrame, new: str, order: list[str], descending: bool, within: list[str], start: int) -> DataFrame:
-    """Add consecutive numbers from start, per group if within is given, as int.
+    """Add consecutive numbers from start, per group if within is given, as long.
 
-    The remaining attributes end the order, so the result is determined.
+    The remaining attributes end the order, so the result is determined. Groups
+    are numbered in one order of all tuples, less what stands before each: a
+    group that holds most tuples is spread over many tasks like the others.
     """
     rest = [c for c in df.columns if c not in order and c not in within]
     keys = [quoted(c).desc() if descending else quoted(c).asc() for c in order] + [quoted(c).asc() for c in rest]
-    if within:
-        window = Window.partitionBy(*map(quoted, within)).orderBy(*(keys or [F.lit(0)]))
-        return df.withColumn(new, (F.row_number().over(window) - 1 + start).cast("int"))
-    if not keys:
-        return df.withColumn(new, F.lit(start).cast("int"))
-    numbered = number(df, keys, "_tag")
-    return numbered.withColumn("_tag", (F.col("_tag") + start).cast("int")).withColumnRenamed("_tag", new)
+    if not within and not keys:
+        return df.withColumn(new, F.lit(start).cast("long"))
+    if not keys:  # all attributes form the group
+        return df.withColumn(new, F.lit(start).cast("long"))
+    numbered = number(df, [*map(quoted, within), *keys], "_tag")
+    if not within:
+        return numbered.withColumn("_tag", F.col("_tag") + start).withColumnRenamed("_tag", new)
+    numbered, _ = write_scratch(numbered, "tagged")
+    # Written, so that the join shuffles both sides and a large group can be split.
+    first, _ = write_scratch(numbered.groupBy(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(within))).agg(F.min("_tag").alias("_first")), "groups")
+    same = [quoted(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(within)]
+    both = numbered.join(first, reduce(Column.__and__, same))
+    return both.select(*map(quoted, df.columns), (F.col("_tag") - F.col("_first") + start).alias(new))

@@ -234,12 +234,12 @@ _agg("rmax", rmax("p_size"), "max(p_size)")
 _agg("count_where", count_where("p_size > 25"), "count(*) FILTER (WHERE p_size > 25)")
 
 
-@query("SELECT *, CAST(rank() OVER (ORDER BY p_size) AS INT) AS r FROM part")
+@query("SELECT *, rank() OVER (ORDER BY p_size) AS r FROM part")
 def rank_asc(t):
     return t("part").rank("p_size", "r")
 
 
-@query("SELECT *, CAST(rank() OVER (ORDER BY s_acctbal DESC) AS INT) AS r FROM supplier")
+@query("SELECT *, rank() OVER (ORDER BY s_acctbal DESC) AS r FROM supplier")
 def rank_desc(t):
     return t("supplier").rank("s_acctbal", "r", descending=True)
 
@@ -249,17 +249,17 @@ def topk(t):
     return t("orders").top("o_totalprice", 10)
 
 
-@query("SELECT *, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority) - 1 AS INT) AS n FROM orders")
+@query("SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority) - 1 AS n FROM orders")
 def tag(t):
     return t("orders").tag("n", ascending=["o_orderdate"])
 
 
-@query("SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey, o_orderstatus, o_orderdate, o_orderpriority) - 1 AS INT) AS n FROM orders")
+@query("SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey, o_orderstatus, o_orderdate, o_orderpriority) - 1 AS n FROM orders")
 def tag_within(t):
     return t("orders").tag("n", descending=["o_totalprice"], within=["o_custkey"])
 
 
-@query("SELECT *, CAST(row_number() OVER (ORDER BY s_nationkey, s_suppkey, s_name, s_acctbal) - 1 + 100 AS INT) AS n FROM supplier")
+@query("SELECT *, row_number() OVER (ORDER BY s_nationkey, s_suppkey, s_name, s_acctbal) - 1 + 100 AS n FROM supplier")
 def tag_start(t):
     return t("supplier").tag("n", ascending=["s_nationkey"], start=100)
 

@@ -20,6 +20,7 @@ from .functions.aggregates import Aggregate, rcount
 from .operators.closure import transitive_closure
 from .operators.ordering import competition_rank, tagged
 from .streaming.guard import whole
+from .textform import parsed, unparsed
 from .types import canonical, coerce, data_type, heading_of, is_relation, is_tuple, nested_tuple, plain, quoted, same_heading, struct_type
 
 Using = Mapping[str, str] | None
@@ -85,6 +86,15 @@ class Relation:
     def from_dict(cls, spark: SparkSession, values: Mapping, kattr: str, ktype: object, vattr: str, vtype: object) -> Relation:
         return cls.table(spark, {kattr: ktype, vattr: vtype}, *values.items())
 
+    @classmethod
+    def parse(cls, spark: SparkSession, text: str) -> Relation:
+        """A relation from its text form: {attr type ...} {{attr value ...} ...}."""
+        return cls.create(spark, *parsed(text))
+
+    def text(self) -> str:
+        """The text form that parse() reads."""
+        return unparsed(self._df.schema, [list(r) for r in self._whole("text").collect()])
+
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, keys: Sequence[Sequence[str]] = ()) -> Relation:
         """A Parquet table; without a declared key its rows are made distinct."""
@@ -223,8 +233,16 @@ class Relation:
         return Relation(tagged(self._whole("tag"), new, order, bool(descending), list(within), start), True, keys)
 
     def top(self, attr: str, n: int, descending: bool = True) -> Relation:
-        """Tuples whose competition rank is at most n."""
-        return self.rank(attr, "_rank", descending).restrict(quoted("_rank") <= n).eliminate("_rank")
+        """Tuples whose competition rank is at most n.
+
+        The n-th value in order is found by partial heaps and compared with
+        every tuple; nothing is ranked.
+        """
+        self._has(attr)
+        df, value = self._whole("top"), quoted(attr)
+        nth = df.select(value.alias("_v")).orderBy(F.desc("_v") if descending else F.asc("_v")).limit(n)
+        nth = nth.agg((F.min if descending else F.max)("_v").alias("_v"))  # one row
+        return Relation(df.join(F.broadcast(nth), value >= F.col("_v") if descending else value <= F.col("_v")).drop("_v"), True, self.keys)
 
     def group(self, new: str, *attrs: str) -> Relation:
         """Nest attributes into a relation-valued one."""
@@ -524,11 +542,16 @@ class Relation:
         counted = df.agg(*self._aggregates(triples), F.count(F.lit(1)).alias("_n"))
         return Relation(counted.filter("_n > 0").drop("_n"), True)
 
-    def crosstab(self, cross: str, *attrs: str) -> Relation:
-        """Counts per distinct value of cross as attributes, and Total."""
+    def crosstab(self, cross: str, *attrs: str, most: int = 10_000) -> Relation:
+        """Counts per distinct value of cross as attributes, and Total.
+
+        More than `most` values are an error: each is an attribute of the plan.
+        """
         self._has(cross, *attrs)
         df = self._whole("crosstab")
-        values = [r[0] for r in df.select(quoted(cross)).distinct().orderBy(quoted(cross)).collect()]
+        values = sorted(r[0] for r in df.select(quoted(cross)).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise E.WrongAttributes(f"more than {most} values of {cross}")
         counts = [F.count_if(quoted(cross) == F.lit(v)).cast("int").alias(str(v)) for v in values]
         total = F.count(F.lit(1)).cast("int").alias("Total")
         for v in values:
@@ -591,6 +614,22 @@ class Relation:
             except StopIteration:
                 return
 
+    def flat_map(self, rows: Callable[[dict], Iterator[Mapping] | list], heading: Mapping[str, object]) -> Relation:
+        """A table function of the host language: the tuples that rows(tuple) gives for each tuple.
+
+        Runs over Arrow batches on the executors; equal tuples become one.
+        """
+        schema = struct_type(heading)
+
+        def run(batches):
+            import pandas as pd
+
+            for batch in batches:
+                out = [t for r in batch.to_dict("records") for t in rows(r)]
+                yield pd.DataFrame(out, columns=schema.names)
+
+        return Relation(self._whole("flat_map").mapInPandas(run, schema))
+
     def rows(self, ascending: Sequence[str] = (), descending: Sequence[str] = ()) -> Iterator[Row]:
         return self._ordered(ascending, descending).toLocalIterator()
 

@@ -7,10 +7,13 @@ first; the manifest that names the version is written last.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 import uuid
 from collections.abc import Mapping
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -31,7 +34,7 @@ def _manifest(catalog: Catalog, pattern: str) -> dict:
     kept = [c for c in catalog.constraint_names() if set(catalog._constraints[c].relvars) <= set(names)]
     return {
         "version": VERSION,
-        "relvars": {n: {"heading": json.loads(catalog[n]._df.schema.json()), "identifiers": catalog.identifiers(n)} for n in names},
+        "relvars": {n: {"heading": json.loads(catalog["::" + n]._df.schema.json()), "identifiers": catalog.identifiers("::" + n)} for n in names},
         "constraints": [catalog.constraint_info(c) for c in kept if catalog._constraints[c].kind != "procedural"],
     }
 
@@ -42,7 +45,7 @@ def save(catalog: Catalog, path: str, pattern: str = "*") -> None:
     version = uuid.uuid4().hex
     folders = {n: f"{version}/{i}" for i, n in enumerate(manifest["relvars"])}
     for n, folder in folders.items():
-        catalog[n].df.write.parquet(f"{path}/{folder}")
+        catalog["::" + n].df.write.parquet(f"{path}/{folder}")
     text = json.dumps(manifest | {"folders": folders})
     catalog.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -60,7 +63,7 @@ def _read(spark: SparkSession, path: str) -> tuple[dict, dict[str, Relation]]:
 
 def _create(catalog: Catalog, name: str, relvar: Mapping) -> None:
     schema = T.StructType.fromJson(relvar["heading"])
-    catalog.create(name, {f.name: f.dataType for f in schema.fields}, *relvar["identifiers"])
+    catalog.create("::" + name, {f.name: f.dataType for f in schema.fields}, *relvar["identifiers"])
 
 
 def _constrain(catalog: Catalog, info: Mapping) -> None:
@@ -80,7 +83,7 @@ def load(spark: SparkSession, path: str, into: Catalog | None = None) -> Catalog
         _constrain(catalog, info)
     with catalog.transaction():
         for n, value in values.items():
-            catalog.set(n, value)
+            catalog.set("::" + n, value)
     return catalog
 
 
@@ -89,31 +92,36 @@ def merge(catalog: Catalog, path: str) -> list[str]:
 
     Returns the names of relvars and constraints that differ and were left alone.
     """
-    manifest, values = _read(catalog.spark, path)
+    return merge_values(catalog, *_read(catalog.spark, path))
+
+
+def merge_values(catalog: Catalog, manifest: dict, values: dict[str, Relation]) -> list[str]:
+    """merge() with what a store holds."""
     differ, new = [], set()
     for n, relvar in manifest["relvars"].items():
-        if not catalog.exists(n):
+        if not catalog.exists("::" + n):
             _create(catalog, n, relvar)
             new.add(n)
             continue
         try:
-            same_heading(catalog[n]._df.schema, values[n]._df.schema)
+            same_heading(catalog["::" + n]._df.schema, values[n]._df.schema)
         except E.HeadingMismatch:
             differ.append(n)
-    for info in manifest["constraints"]:
-        if set(differ) & set(_concerned(info)):
-            differ.append(info["name"])
-        elif not catalog.constraint_exists(info["name"]):
-            if new & set(_concerned(info)):
-                _constrain(catalog, info)
-        elif catalog.constraint_info(info["name"]) != info:
-            differ.append(info["name"])
+    differ += [info["name"] for info in manifest["constraints"] if set(differ) & set(_concerned(info))]
     with catalog.transaction():
         for n, value in values.items():
             if n in new:
-                catalog.set(n, value)
+                catalog.set("::" + n, value)
             elif n not in differ:
-                catalog.uinsert(n, value)
+                catalog.uinsert("::" + n, value)
+        for info in manifest["constraints"]:
+            if info["name"] in differ:
+                continue
+            if catalog.constraint_exists(info["name"]):
+                if catalog.constraint_info(info["name"]) != info:
+                    differ.append(info["name"])
+            elif new & set(_concerned(info)):
+                _constrain(catalog, info)
     return differ
 
 
@@ -121,10 +129,49 @@ def _concerned(info: Mapping) -> list[str]:
     return {"association": lambda: [info["referring"], info["to"]], "partition": lambda: [info["whole"], *(p for p, _ in info["parts"])], "correlation": lambda: [info["relvar"], info["rel_a"], info["rel_b"]]}[info["kind"]]()
 
 
+def to_plain(value: object, kind: T.DataType):
+    """A value as JSON holds it."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: to_plain(value[f.name], f.dataType) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [to_plain(v, kind.elementType) for v in value]
+    if isinstance(kind, T.BinaryType):
+        return base64.b64encode(bytes(value)).decode()
+    if isinstance(kind, (T.TimestampType, T.DateType)):
+        return value.isoformat()
+    return str(value) if isinstance(kind, T.DecimalType) else value
+
+
+def from_plain(value: object, kind: T.DataType):
+    """The value that to_plain() was given."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: from_plain(value[f.name], f.dataType) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [from_plain(v, kind.elementType) for v in value]
+    if isinstance(kind, T.BinaryType):
+        return base64.b64decode(value)
+    if isinstance(kind, T.TimestampType):
+        return datetime.fromisoformat(value)
+    if isinstance(kind, T.DateType):
+        return date.fromisoformat(value)
+    return Decimal(value) if isinstance(kind, T.DecimalType) else value
+
+
 def serialize(catalog: Catalog, pattern: str = "*") -> dict:
-    """Relvars, constraints and tuples as plain values; for small catalogs."""
+    """Relvars, constraints and tuples as values that JSON holds; for small catalogs."""
     manifest = _manifest(catalog, pattern)
-    return manifest | {"values": {n: catalog[n].body() for n in manifest["relvars"]}}
+    body = lambda value: [to_plain(t, value._df.schema) for t in value.body()]
+    return manifest | {"values": {n: body(catalog["::" + n]) for n in manifest["relvars"]}}
+
+
+def serialize_to_file(catalog: Catalog, path: str, pattern: str = "*") -> None:
+    """serialize() as JSON in a file of the host program."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(serialize(catalog, pattern), f)
 
 
 def deserialize(spark: SparkSession, value: Mapping, into: Catalog | None = None) -> Catalog:
@@ -135,14 +182,25 @@ def deserialize(spark: SparkSession, value: Mapping, into: Catalog | None = None
         _constrain(catalog, info)
     with catalog.transaction():
         for n, body in value["values"].items():
-            catalog.set(n, Relation.create(spark, catalog._find(n).heading, *body))
+            schema = T.StructType.fromJson(value["relvars"][n]["heading"])
+            catalog.set("::" + n, Relation.create(spark, catalog._find("::" + n).heading, *(from_plain(t, schema) for t in body)))
     return catalog
 
 
+def deserialize_from_file(spark: SparkSession, path: str, into: Catalog | None = None) -> Catalog:
+    with open(path, encoding="utf-8") as f:
+        return deserialize(spark, json.load(f), into)
+
+
 def dump(catalog: Catalog, pattern: str = "*") -> str:
     """Python text that rebuilds the relvars; run it with catalog defined."""
-    state = json.dumps(serialize(catalog, pattern), indent=1, default=str)
-    return f"import json\n\nfrom tuplewise.sources.store import deserialize\n\ndeserialize(catalog.spark, json.loads(r'''{state}'''), catalog)\n"
+    state = json.dumps(serialize(catalog, pattern))
+    return f"import json\n\nfrom tuplewise.sources.store import deserialize\n\ndeserialize(catalog.spark, json.loads({state!r}), catalog)\n"
+
+
+def dump_to_file(catalog: Catalog, path: str, pattern: str = "*") -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(dump(catalog, pattern))
 
 
 def sql_name(name: str) -> str:
@@ -156,13 +214,13 @@ def sql_schema(catalog: Catalog, pattern: str = "*") -> str:
     join = lambda attrs: ", ".join(map(sql_name, attrs))
     out = ["pragma foreign_keys=ON;"]
     for n in catalog.names(pattern):
-        infos = [catalog.constraint_info(c) for c in catalog.constraint_member(n)]
+        infos = [catalog.constraint_info(c) for c in catalog.constraint_member("::" + n)]
         loose = {a for i in infos if i["kind"] == "association" and i["referring"] == n and i["to_spec"] == "?" for a in i["attrs"]}
         table, lines, indexes = sql_name(n), [], []
-        for f in catalog[n]._df.schema.fields:
+        for f in catalog["::" + n]._df.schema.fields:
             kind = _SQL_TYPES.get(shown(f.dataType), "text")
             lines.append(f"{sql_name(f.name)} {kind}" + ("" if f.name in loose else " not null"))
-        for k, i in enumerate(catalog.identifiers(n), 1):
+        for k, i in enumerate(catalog.identifiers("::" + n), 1):
             lines.append(f"constraint {table}_ID{k} unique ({join(i)})")
         for i in infos:
             refs = []
