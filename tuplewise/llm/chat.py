@@ -8,12 +8,14 @@ insertions that make a conversation legal, and the result is rendered.
 
 Turns are range-partitioned by conversation and order, so one that holds most
 rows is spread over many tasks. A conversation inside one partition is solved
-there. One that crosses partitions is a chain of chunks: each gives its
-min-plus matrix of costs between states; the driver multiplies these (at most
-two chunks a partition, 25 numbers each), chunks then report where their
-traceback enters for each exit, and the driver walks this back. The choice
-among equal costs is that of an undivided traceback, so the result doesn't
-depend on the partitions.
+there. One that crosses partitions is a chain of chunks, at most two a
+partition: each gives its min-plus matrix of costs between states (25 numbers);
+one scan per conversation over these gives the costs before each chunk, the
+chunks then report where their traceback enters for each exit, and a scan back
+gives each chunk its exit and its first position. All of it runs on executors
+and joins back to the chunks; nothing is collected. The choice among equal
+costs is that of an undivided traceback, so the result doesn't depend on the
+partitions.
 """
 
 from __future__ import annotations
@@ -144,12 +146,11 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     turn, merge, relabel, relabel+merge, insert or end. Turns are ordered by
     turn_col (null first), then role and text; repeated rows are repeated
     turns, which merge. Unknown and null roles are relabelled, null texts are
-    empty, rows with a null id are one conversation. What looks like a marker
-    in a text gets a space. An empty table gives no rows; other columns are
-    not read.
+    empty, very long ones stay whole; rows with a null id are one conversation.
+    What looks like a marker in a text gets a space. An empty table gives no
+    rows; other columns, whatever their names, are not read.
     """
     require(turns, id_col, turn_col, role_col, text_col)
-    spark = turns.sparkSession
     kind = turns.select(id_col).dtypes[0][1]
     rows = turns.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The last key parts repeated rows, whose order doesn't matter.
@@ -197,75 +198,87 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
 
     solved = materialise(ordered.select(*order).mapInArrow(solve, schema), "chats")
     # At most two conversations of each partition are open: the first and the last.
-    chunks: dict = {}
-    for r in solved.filter("seq = -1").select("conv", "part", "costs").collect():
-        chunks.setdefault(r.conv, []).append((r.part, r.costs))
-    before, ends = {}, {}
-    for conv, parts in chunks.items():
-        costs = START
-        for part, m in sorted(parts):
-            before[part, conv] = costs
-            costs = [min(min(costs[a] + m[5 * a + b] for a in STATES), NEVER) for b in STATES]
-        ends[conv] = best_end(costs)
-    told = spark.sparkContext.broadcast(before)
-
-    open_rows = solved.filter("seq >= 0").select("conv", "part", "seq", "code", "text").repartition("part", "conv").sortWithinPartitions("part", "conv", "seq")
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    open_type = to_arrow_type(solved.schema["conv"].dataType)
+    long, int_ = pa.int64(), pa.int32()
+
+    def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list]]:
+        """Rows of one key after the other; the key is the first columns."""
         name, run = None, []
         for batch in batches:
-            for conv, part, code, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
-                if run and (part, conv) != name:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if run and row[:keys] != name:
                     yield name, run
                     run = []
-                name = (part, conv)
-                run.append((code, text))
+                name = row[:keys]
+                run.append(row[keys:])
         if run:
             yield name, run
 
+    def table(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (conv,), parts in runs(batches, 1):
+            costs, out = START, []
+            for part, m in parts:
+                out.append((conv, part, costs, None))
+                costs = [min(min(costs[a] + m[5 * a + b] for a in STATES), NEVER) for b in STATES]
+            out[-1] = (*out[-1][:3], best_end(costs))
+            yield table(["conv", "part", "before", "end"], [open_type, int_, pa.list_(long), long], out)
+
+    chunks = solved.filter("seq = -1").select("conv", "part", "costs").repartition("conv").sortWithinPartitions("conv", "part")
+    before = materialise(chunks.mapInArrow(forward, f"conv {kind}, part int, before array<long>, end long"), "before")
+    open_rows = solved.filter("seq >= 0").select("conv", "part", "seq", "code", "text")
+
+    def told(rows: DataFrame, what: DataFrame, *names: str) -> DataFrame:
+        """Rows of chunks in order, the first of each with what is known of the chunk."""
+        what = what.select(F.col("conv").alias("_c"), F.col("part").alias("_p"), *names)
+        both = rows.join(what, (F.col("seq") == 0) & (F.col("part") == F.col("_p")) & F.col("conv").eqNullSafe(F.col("_c")), "left")
+        return both.select("part", "conv", "seq", "code", "text", *names).repartition("part", "conv").sortWithinPartitions("part", "conv", "seq")
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (part, conv), run in stretches(batches):
-            ways = []
-            for end in STATES:
-                costs, codes = told.value[part, conv], [r for r, _ in run]
-                reached = costs
-                for r in codes:
-                    reached, _ = step(reached, r)
-                if reached[end] >= NEVER:
+        for (part, conv), run in runs(batches, 2):
+            costs, end, codes, ways = run[0][3], run[0][4], [r[1] for r in run], []
+            reached = costs
+            for r in codes:
+                reached, _ = step(reached, r)
+            for state in STATES:
+                if reached[state] >= NEVER:
                     ways += [-1, 0]
                 else:
-                    entry, path = traceback(codes, costs, end)
+                    entry, path = traceback(codes, costs, state)
                     ways += [entry, len(run) + sum(len(m[3]) for _, m in path)]
-            yield pa.RecordBatch.from_arrays([pa.array([conv], open_type), pa.array([part], pa.int32()), pa.array([ways], pa.list_(pa.int64()))], names=["conv", "part", "ways"])
+            yield table(["conv", "part", "end", "ways"], [open_type, int_, long, pa.list_(long)], [(conv, part, end, ways)])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    ways = told(open_rows.withColumn("text", F.lit("")), before, "before", "end").mapInArrow(entries, f"conv {kind}, part int, end long, ways array<long>")
 
-    open_type = to_arrow_type(solved.schema["conv"].dataType)
-    ways = {(r.part, r.conv): r.ways for r in open_rows.mapInArrow(entries, f"conv {kind}, part int, ways array<long>").collect()} if chunks else {}
-    exits = {}
-    for conv, parts in chunks.items():
-        state, sizes = ends[conv], []
-        for part in sorted((p for p, _ in parts), reverse=True):
-            exits[part, conv] = [state, not sizes, 0]
-            sizes.append((part, ways[part, conv][2 * state + 1]))
-            state = ways[part, conv][2 * state]
-        at = 0
-        for part, n in reversed(sizes):
-            exits[part, conv][2] = at
-            at += n
-    known = spark.sparkContext.broadcast((before, exits))
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (conv,), parts in runs(batches, 1):
+            state, at, out = parts[0][1], 0, []
+            for part, end, found in parts:  # the last chunk first
+                out.append((part, state, end is not None, found[2 * state + 1]))
+                state = found[2 * state]
+            rows = []
+            for part, exit_, last, n in reversed(out):
+                rows.append((conv, part, exit_, last, at))
+                at += n
+            yield table(["conv", "part", "exit", "last", "at"], [open_type, int_, long, pa.bool_(), long], rows)
+
+    exits = ways.repartition("conv").sortWithinPartitions("conv", F.desc("part")).mapInArrow(backward, f"conv {kind}, part int, exit long, last boolean, at long")
+    exits = materialise(exits.join(before.select(F.col("conv").alias("_c"), F.col("part").alias("_p"), "before"), (F.col("part") == F.col("_p")) & F.col("conv").eqNullSafe(F.col("_c"))).select("conv", "part", "exit", "last", "at", "before"), "exits")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, exits = known.value
-        for (part, conv), run in stretches(batches):
-            end, last, at = exits[part, conv]
-            entry, path = traceback([r for r, _ in run], before[part, conv], end)
-            out = list(segments(run, path, entry, last))
-            roles, actions, rendered = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array([conv] * len(out), open_type), pa.array(range(at, at + len(out)), pa.int64()), pa.array(roles), pa.array(actions), pa.array(rendered)], names=["conv", "position", "role", "action", "rendered"])
+        for (_, conv), run in runs(batches, 2):
+            end, last, at, costs = run[0][3:]
+            turns = [(code, text) for _, code, text, *_ in run]
+            entry, path = traceback([r for r, _ in turns], costs, end)
+            out = list(segments(turns, path, entry, last))
+            yield table(["conv", "position", "role", "action", "rendered"], [open_type, long, pa.string(), pa.string(), pa.string()], [(conv, i, *s) for i, s in enumerate(out, at)])
 
     done = solved.filter("seq is null").select("conv", "position", "role", "action", "rendered")
-    rest = open_rows.mapInArrow(finish, f"conv {kind}, position long, role string, action string, rendered string")
+    rest = told(open_rows, exits, "exit", "last", "at", "before").mapInArrow(finish, f"conv {kind}, position long, role string, action string, rendered string")
     return done.unionByName(rest).select(F.col("conv").alias(id_col), "position", "role", "action", "rendered")
 
 
