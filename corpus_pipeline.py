@@ -68,12 +68,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     or without words are linked with nothing and stay; very long texts are read
     whole; an empty table stays empty; all columns come along.
     """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
     # Written, so that a row has the same key in each pass.
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), "*"), "rows")
-    placed = near_duplicates(rows, percent=80, id_col="_row").select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = placed.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias(row), "*"), "rows")
+    placed = near_duplicates(rows, percent=80, id_col=row).select(F.col(row).alias("row"), F.col("component_id").alias("component"))
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    first = placed.join(ids, "row").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 @_stage(2)
