@@ -69,7 +69,6 @@ def test_bpe_matches_the_library(docs, rows):
 def test_packing(docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     for capacity in (16, 2048):
         got = pack_documents(docs, path, capacity=capacity).collect()
         laid = defaultdict(list)
@@ -547,6 +546,22 @@ def test_near_duplicates(spark, docs, rows, percent, tile, monkeypatch):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_duplicates_of_a_group_around_the_threshold(spark):
+    """Copies whose similarities lie on both sides of the threshold: components by brute force."""
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(146)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute_components(rows, 85)
+    assert 2 < len({c for _, c in want.values()}) < 140
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
@@ -611,14 +626,15 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_are_rarely_missed_by_signatures(spark, percent, monkeypatch):
-    used, likely, across = [], near_dup._likely, near_dup._across
+    used, likely, rows, links = [], near_dup._likely, near_dup._open_rows, near_dup._links
     monkeypatch.setattr(near_dup, "_likely", lambda pairs, sigs, least: used.append(least) or likely(pairs, sigs, least))
-    monkeypatch.setattr(near_dup, "_across", lambda rows, least, best: used.append(None if best else least) or across(rows, least, best))
+    monkeypatch.setattr(near_dup, "_open_rows", lambda table, least: used.append(least) or rows(table, least))
+    monkeypatch.setattr(near_dup, "_links", lambda table, least, percent: used.append(least) or links(table, least, percent))
     table = spark.createDataFrame([(i, "some words that stand in two rows and more of them") for i in range(2)], "doc_id long, text string")
     assert near_duplicates(table, percent=percent).filter("kept").count() == 1
     p = percent / 100 + (1 - percent / 100) / 256
     of = lambda k: math.comb(200, k) * p**k * (1 - p) ** (200 - k)
-    for least in filter(None, used):
+    for least in used:
         missed = [k for k in range(201) if (k / 200 - 1 / 256) / (255 / 256) < least]
         assert sum(map(of, missed)) <= 1e-7 < sum(map(of, [*missed, len(missed)]))
     assert len(used) == 3
@@ -661,6 +677,9 @@ def test_packing_knows_added_tokens(spark, tmp_path):
     got = {r.doc_id: (r.length, r.ids_crc32) for r in op1_best_fit_packing(spark, str(tmp_path)).collect()}
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
     assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+    plain = pack_documents(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), markers=False)
+    library.encode_special_tokens = True
+    assert plain.first().length == len(library.encode(texts[0], add_special_tokens=False).ids) + 1
 
 
 @pytest.mark.parametrize("name", ["op2_exact_top_k", "op4_substring_dedup", "op5_quality_rules", "op8_url_filter", "op10_minhash_near_dup"])

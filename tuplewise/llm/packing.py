@@ -3,8 +3,11 @@
 Lengths are at most the capacity, so the corpus is a histogram of bounded
 size whatever its number of documents. The plan is made on that histogram: for
 each length, longest first, the gap that it leaves is filled exactly by one,
-two or three lengths still available (bit sets are the index of single and
-pair sums); what no combination fills goes best-fit. Each step uses a class of
+two or three lengths still available; what no combination fills goes best-fit.
+The index of sums is one of bit sets: bit n of the first tells that length n is
+left, bit n of the second that two lengths left add up to n. Shifted and
+reflected, one has a bit for each first part of a pair that fills a gap, the
+other for each first part of a triple. Each step uses a class of
 lengths up, or a class of open sequences, so the plan too is of bounded size.
 Pieces find their place by their rank within their length: a count per input
 partition, a running sum of these counts, and a search in the plan.
@@ -49,15 +52,26 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     if left.get(0):
         plan.append(Pattern([0] * 1, left.pop(0)))
     have = mirror = 0  # bit n: length n is left; mirror: bit capacity - n
+    sums = 0  # mirror of the sums of two lengths; lengths used up since then only make it larger than it need be
+    stale = 1 << 30
 
     def mark(n: int, on: bool) -> None:
-        nonlocal have, mirror
+        nonlocal have, mirror, stale
+        stale += 1
         a, b = 1 << n, 1 << (capacity - n)
         have, mirror = (have | a, mirror | b) if on else (have & ~a, mirror & ~b)
 
     for n in left:
         mark(n, True)
 
+    def pair_sums() -> None:
+        nonlocal sums, stale
+        if stale > 32:
+            stale, sums = 0, 0
+            for a in range(1, capacity):
+                if have >> a & 1:
+                    sums |= mirror >> a  # bit capacity - (a + b)
+
     def two(gap: int, first: Counter, at_most: int) -> list[int] | None:
         """Two lengths that sum to gap, the longer as long as can be."""
         both = have & (mirror >> (capacity - gap)) & ((1 << (at_most + 1)) - 1)
@@ -84,7 +98,8 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
             return [gap]
         if (found := two(gap, first, gap)) is not None:
             return found
-        some = have & ((1 << gap) - 1)
+        pair_sums()
+        some = have & (sums >> (capacity - gap)) & ((1 << gap) - 1)
         while some:
             a = some.bit_length() - 1
             some &= ~(1 << a)
@@ -198,7 +213,7 @@ def split_lengths(n: int, capacity: int) -> list[int]:
     return [n % capacity] * (n % capacity > 0) + [capacity] * (n // capacity)
 
 
-def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True, markers: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True, markers: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut documents into pieces and lay these in sequences of at most capacity ids.
 
     Returns per piece (id_col, piece, start, length, ids_crc32, sequence_id,
@@ -206,7 +221,7 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id:
     is its text's ids by the tokenizer file at path, then end_id; nothing is put
     around it. With markers, the strings of the file's added tokens have their
     ids, as the tokenizers library does by default; else they are ordinary text. Null and empty texts are
-    end_id alone. Repeated rows and equal or null ids of documents are packed
+    end_id alone; very long ones are cut. Repeated rows and equal or null ids of documents are packed
     like any other rows; an empty table gives no pieces; other columns are not
     read. Runs one pass over the texts; its pieces are written to the shared
     folder, then ranked within their length by partial counts: no task sees
