@@ -5,14 +5,17 @@ anything else, so exact copies cost one row each. Universal-hash minima form a
 signature; bands of it give buckets. In each bucket the smallest class is
 compared with the others, which links most of a group of near copies without
 its pairs. Components of these links are found by alternating large-star and
-small-star. What is then still in different components of one bucket is
-compared in tiles by signature, so that no link is lost. Every link is
-confirmed on the full sets.
+small-star. Then each document's likeliest partner in another component is
+tried, and what still lies in different components of one bucket is compared
+in tiles: by signature, and on the full sets where that leaves it open. So no
+link is lost, every link is confirmed on full sets, and nothing is written for
+a pair that isn't one: tables grow with documents and their buckets, not with
+the square of a group. Only the comparing inside a tile does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -26,7 +29,7 @@ from .common import WordHashes, loose, materialise, mix, require, shingle_hashes
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 #: Rows of a bucket's tile; larger buckets are dealt over pairs of tiles.
-TILE = 1024
+TILE = 384
 _random = np.random.default_rng(20_11)
 _TIMES = _random.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1)
 _PLUS = _random.integers(0, 2**32, HASHES, np.uint32)
@@ -148,41 +151,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, least: float, best: bool) -> DataFrame:
-    """Likely pairs of one bucket that lie in different components.
+def _dealt(rows: DataFrame, *values: str) -> DataFrame:
+    """Rows (key, id, members, ...) of buckets, once for each pair of tiles (key, i, j) that they belong to.
 
-    All of them, or with best only each row's most likely one in each tile.
-    rows: key, id, component, sig, members (of the bucket). Buckets are dealt
-    over pairs of tiles of about TILE rows by a hash of the id; each task goes
-    through its sorted tile pairs one by one.
+    Tiles hold about TILE rows, by a hash of the id.
     """
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    dealt = rows.select("key", "id", "component", "sig", tiles.alias("tiles"), own.alias("own"))
-    dealt = dealt.select("key", "id", "component", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig")
+    dealt = rows.select("key", "id", *values, tiles.alias("tiles"), own.alias("own"))
+    dealt = dealt.select("key", "id", *values, "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", *values)
 
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        own, ids, comp = (t.column(c).to_numpy() for c in ("own", "id", "component"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left = np.arange(len(ids)) if same else np.flatnonzero(own == own.min())
-        right = left if same else np.flatnonzero(own != own.min())
-        for at in range(0, len(left), 128):
-            block = left[at : at + 128]
-            good = (comp[block][:, None] != comp[right][None, :]) & ((ids[block][:, None] < ids[right][None, :]) | best | (not same))
-            rows_ = np.flatnonzero(good.any(axis=1))
-            if len(rows_):
-                likely = np.where(good[rows_], _agreement(sig[block[rows_]], sig[right]), -1)
-                if best:
-                    y = likely.argmax(axis=1)
-                    x = np.flatnonzero(likely[np.arange(len(y)), y] >= least)
-                    x, y = rows_[x], y[x]
-                else:
-                    x, y = np.nonzero(likely >= least)
-                    x = rows_[x]
-                a, b = ids[block[x]], ids[right[y]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+def _by_tile(dealt: DataFrame, compare: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """compare(rows of one pair of tiles); each task goes through its sorted pairs one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -200,7 +182,121 @@ def _across(rows: DataFrame, least: float, best: bool) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the rows of both tiles, and whether they are one tile."""
+    own = t.column("own").to_numpy()
+    if t.column("i")[0].as_py() == t.column("j")[0].as_py():
+        return np.arange(len(own)), np.arange(len(own)), True
+    return np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min()), False
+
+
+def _fixed(t: pa.Table, name: str, kind: type, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(-1, size)
+
+
+def _best_partners(rows: DataFrame, least: float) -> DataFrame:
+    """Each row's likeliest partner of another component in each tile of its buckets.
+
+    rows: key, id, component, sig, members (of the bucket).
+    """
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, comp = (t.column(c).to_numpy() for c in ("id", "component"))
+        sig, (left, right, _) = _fixed(t, "sig", np.uint8, HASHES), _sides(t)
+        for at in range(0, len(left), 128):
+            block = left[at : at + 128]
+            good = comp[block][:, None] != comp[right][None, :]
+            some = np.flatnonzero(good.any(axis=1))
+            if len(some):
+                likely = np.where(good[some], _agreement(sig[block[some]], sig[right]), -1)
+                y = likely.argmax(axis=1)
+                x = np.flatnonzero(likely[np.arange(len(y)), y] >= least)
+                a, b = ids[block[some[x]]], ids[right[y[x]]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_tile(_dealt(rows, "component", "sig"), compare, "a long, b long")
+
+
+def _open_pairs(t: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of two tiles that lie in different components, are likely enough, and share no earlier band."""
+    ids, comp, key = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("key")[0].as_py()
+    sig, bands, (left, right, same) = _fixed(t, "sig", np.uint8, HASHES), _fixed(t, "bands", np.int64, BANDS), _sides(t)
+    band = int((bands[0] == key).argmax())
+    for at in range(0, len(left), 128):
+        block = left[at : at + 128]
+        good = (comp[block][:, None] != comp[right][None, :]) & ((ids[block][:, None] < ids[right][None, :]) | (not same))
+        some = np.flatnonzero(good.any(axis=1))
+        if len(some):
+            x, y = np.nonzero(np.where(good[some], _agreement(sig[block[some]], sig[right]), -1) >= least)
+            x, y = block[some[x]], right[y]
+            first = ~(bands[x, :band] == bands[y, :band]).any(axis=1)
+            if first.any():
+                yield x[first], y[first]
+
+
+def _open_rows(rows: DataFrame, least: float) -> DataFrame:
+    """(key, i, j, own, id, component, bands, sig) of rows that have such a pair: at most as many as there are."""
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(t.num_rows, bool)
+        for x, y in _open_pairs(t, least):
+            wanted[x] = wanted[y] = True
+        if wanted.any():
+            yield from t.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return _by_tile(_dealt(rows, "component", "bands", "sig"), compare, "key long, i int, j int, own int, id long, component long, bands binary, sig binary")
+
+
+def _links(rows: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between components, confirmed on full sets: enough of them to join what is linked in a tile.
+
+    rows: those of _open_rows, with their sets. Pairs that a link of this tile
+    has joined already are skipped, so there are fewer links than rows.
+    """
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy().copy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        for xs, ys in _open_pairs(t, least):
+            for x in np.unique(xs):
+                y = ys[xs == x]
+                y = y[comp[y] != comp[x]]
+                if not len(y):
+                    continue
+                at = np.cumsum(size[y]) - size[y]
+                words = np.concatenate([sets[k] for k in y])
+                hit = sets[x][np.minimum(np.searchsorted(sets[x], words), size[x] - 1)] == words
+                common = np.add.reduceat(hit.astype(np.int64), at)
+                for k in y[100 * common >= percent * (size[x] + size[y] - common)]:
+                    if comp[k] != comp[x]:
+                        yield pa.RecordBatch.from_arrays([pa.array([min(ids[x], ids[k])]), pa.array([max(ids[x], ids[k])])], names=["a", "b"])
+                        comp[comp == comp[k]] = comp[x]
+
+    return _by_tile(rows.select("key", "i", "j", "own", "id", "component", "bands", "sig", "set"), compare, "a long, b long")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, set) of texts: the sorted hashes of a text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for part in slices(batch, 128):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, width, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def _joined(now: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links."""
+    ends = links.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left")
+    more = materialise(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
+    moved = now.join(more.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return materialise(moved.unionByName(more.join(now, "id", "left_anti")), "components")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,17 +361,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, miss:
 
     pairs = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     now = materialise(components(_confirmed(_likely(pairs, reps, least), texts, percent, width)), "components")
-    # First each document's likeliest partner elsewhere, which joins most of a
-    # group's pieces in linear work; then all pairs that still lie apart.
-    for best, cut in ((True, percent / 100 - (percent / 100 - least) / 4), (False, least)):
+    def apart(*values: str) -> DataFrame:
+        """Rows of buckets that still hold several components."""
         placed = shared.join(now, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        apart = placed.join(loose(mixed, "key"), "key", "left_semi").join(reps.select("id", "sig"), "id")
-        links = _confirmed(_across(apart, cut, best).distinct(), texts, percent, width)
-        ends = links.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left")
-        more = materialise(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
-        moved = now.join(more.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-        now = materialise(moved.unionByName(more.join(now, "id", "left_anti")), "components")
+        return placed.join(loose(mixed, "key"), "key", "left_semi").join(reps.select("id", *values), "id")
+
+    # First each document's likeliest partner elsewhere, which joins most of a
+    # group's pieces in linear work; then all pairs that still lie apart, each
+    # in the first band that they share, on full sets.
+    partners = _best_partners(apart("sig"), percent / 100 - (percent / 100 - least) / 4).distinct()
+    now = _joined(now, _confirmed(partners, texts, percent, width))
+    rest = materialise(_open_rows(apart("bands", "sig"), least), "open")
+    sets = _sets(texts.join(rest.select("id").distinct(), "id", "left_semi"), width)
+    now = _joined(now, _links(rest.join(sets, "id"), least, percent))
 
     of_class = classes.join(now.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     if unique:
