@@ -187,8 +187,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     ids holds little-endian unsigned 32-bit integers. path names a .tiktoken
     file that every executor has; it is a parameter and is never copied. No
-    shuffle. A null or empty text has no ids. Special tokens are ordinary text.
-    Other columns, whatever their names, are not read. Repeated rows stay.
+    shuffle. A null or empty text has no ids; very long texts are encoded
+    whole. Special tokens are ordinary text. Pairs of equal rank merge from the
+    left. Other columns, whatever their names, are not read. Repeated rows
+    stay; an empty table gives no rows.
     """
     require(docs, id_col, text_col)
 
@@ -207,7 +209,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id") -> DataFrame:
-    """Add decoded (binary) to rows of encode_documents. Null ids decode to no bytes."""
+    """Add decoded (binary) to rows of encode_documents.
+
+    Null and empty ids decode to no bytes; repeated rows stay; an empty table
+    gives no rows; other columns are not read.
+    """
     require(encoded, id_col, "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

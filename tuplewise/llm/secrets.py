@@ -215,8 +215,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     spans is an array of (kind, start, end) in code points, end exclusive. One
     pass over whole texts, no shuffle; one row out per row in. Null and empty
-    texts have no spans (masked: null stays null). Ties, repeated rows and
-    null ids stay as they are. Other columns are not read, or with carry come
+    texts have no spans (masked: null stays null); very long texts are read
+    whole. Spans with one start are listed by kind; repeated rows and null ids
+    stay as they are; an empty table gives no rows. Other columns are not read, or with carry come
     along as they are; spans and masked replace columns of these names.
     """
     require(docs, id_col, text_col)

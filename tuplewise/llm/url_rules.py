@@ -114,8 +114,11 @@ def index_rules(pages: DataFrame, rules: list[Rule], url: Column) -> list[tuple[
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return [("", r) for r in rules]
-    tokens = pages.select(F.explode(url_tokens(F.lower(url))).alias("token"))
-    tokens = tokens.join(pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
+    tokens = url_tokens(F.lower(url))
+    if len(wanted) <= LITERAL_RULES:
+        tokens = pages.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("token"))
+    else:
+        tokens = pages.select(F.explode(tokens).alias("token")).join(pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
     seen = dict.fromkeys(wanted, 0) | {r.token: r.n for r in tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     return [(min(r.tokens, key=lambda t: (seen[t], -len(t), t), default=""), r) for r in rules]
 
