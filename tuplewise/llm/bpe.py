@@ -126,33 +126,42 @@ class Encoder:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         }
+        self.byte_pair = [self.pair.get(a << 20 | b, -1) for a in self.single for b in self.single]
         self.find = regex.compile(pattern).findall
         self.memo = Memo(lambda p: self.piece("\x20" + p), memo_limit)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: lowest rank first, leftmost among equals."""
         n, get, push, pop = len(word), self.pair.get, heapq.heappush, heapq.heappop
+        first = self.byte_pair
+        # Rank of the pair that begins at each place now; what the heap holds besides is out of date.
+        now = [first[a << 8 | b] for a, b in zip(word, word[1:])]
+        heap = [r << 32 | i for i, r in enumerate(now) if r >= 0]
         ids = [self.single[b] for b in word]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        now.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = pop(heap)
             i, rank = top & 0xFFFFFFFF, top >> 32
-            a, j = ids[i], after[i]
-            if a < 0 or j >= n or get(a << 20 | ids[j]) != rank:
-                continue  # one of the two is part of another token by now
-            ids[i], ids[j] = rank, -1
+            if now[i] != rank:
+                continue
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j], now[j] = rank, -1, -1
             if k < n:
                 before[k] = i
-                r = get(rank << 20 | ids[k])
-                if r is not None:
+                r = now[i] = get(rank << 20 | ids[k], -1)
+                if r >= 0:
                     push(heap, r << 32 | i)
+            else:
+                now[i] = -1
             h = before[i]
             if h >= 0:
-                r = get(ids[h] << 20 | rank)
-                if r is not None:
+                r = now[h] = get(ids[h] << 20 | rank, -1)
+                if r >= 0:
                     push(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
